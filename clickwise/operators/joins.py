@@ -1,0 +1,19 @@
+"""Join helpers with an explicit size bound on anything broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
+
+    The check runs ``limit(max_rows + 1).count()``, which stops reading as soon
+    as the bound is exceeded, so it is cheap even when ``df`` is large. Beyond
+    the bound the frame is returned unhinted and Spark plans a shuffle join
+    (with AQE free to convert it at runtime when statistics allow).
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
