@@ -148,36 +148,38 @@ def process_events(df: DataFrame, as_of=None, data_col: str = "data", payload_co
     return ok, failed
 
 
-def summarize_batch(ok: DataFrame, failed: DataFrame, order_col: str, n_ok: int = 10,
+def summarize_batch(outcomes: DataFrame, order_col: str, ok_col: str = "ok", n_ok: int = 10,
                     n_failed: int = 5, sample_col: str | None = None) -> DataFrame:
     """One row of counts plus the first ``n`` processed / failed samples.
 
-    Samples are ``orderBy(order_col).limit(n)`` (a distributed top-k); counts
-    are partial aggregates. The pieces are unioned and folded by a single
-    global aggregate over at most ``n_ok + n_failed`` sample rows.
+    ``outcomes`` has one row per record with a boolean ``ok_col``. Samples are
+    ``orderBy(order_col).limit(n)`` (a distributed top-k, each task keeps
+    ``n`` rows); counts are partial aggregates. The pieces are unioned and
+    folded by one global aggregate over at most ``n_ok + n_failed`` samples.
+    Callers that also write the records should checkpoint ``outcomes`` first
+    so the three reads share one computation.
     """
     sample_col = sample_col or order_col
-
-    def part(df, kind, n):
-        counts = df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(kind).alias("kind"), "n", F.lit(None).cast("long").alias("pos"),
-            F.lit(None).cast("string").alias("sample"))
-        sample = df.orderBy(order_col).limit(n).select(
-            F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n"),
+    ok = F.col(ok_col)
+    counts = outcomes.agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed")).select(
+        F.lit("counts").alias("kind"), "n_ok", "n_failed",
+        F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("sample"))
+
+    def sample(kind, cond, n):
+        return outcomes.where(cond).orderBy(order_col).limit(n).select(
+            F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("n_ok"),
+            F.lit(None).cast("long").alias("n_failed"),
             F.col(order_col).cast("long").alias("pos"), F.col(sample_col).cast("string").alias("sample"))
-        return counts.unionByName(sample)
 
-    both = part(ok, "ok", n_ok).unionByName(part(failed, "failed", n_failed))
+    both = counts.unionByName(sample("ok", ok, n_ok)).unionByName(sample("failed", ~ok, n_failed))
 
     def samples(kind):
-        picked = F.filter(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("pos").isNotNull(),
-                                                          F.struct("pos", "sample")))),
-                          lambda x: x.isNotNull())
+        picked = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "sample"))))
         return F.transform(picked, lambda x: x["sample"])
 
     return both.agg(
-        F.sum(F.when(F.col("kind") == "ok", F.col("n"))).alias("processed_count"),
-        F.sum(F.when(F.col("kind") == "failed", F.col("n"))).alias("failed_count"),
+        F.sum("n_ok").alias("processed_count"),
+        F.sum("n_failed").alias("failed_count"),
         samples("ok").alias("processed_sample"),
         samples("failed").alias("failed_sample"),
     )
