@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clickwise.plans import analytics_queries, event_queries, order_queries
+from clickwise.plans import analytics_queries, event_queries, ops_queries, order_queries
 
-_MODULES = [analytics_queries, event_queries, order_queries]
+_MODULES = [analytics_queries, event_queries, order_queries, ops_queries]
 
 
 def queries():
