@@ -108,7 +108,7 @@ def enrich_events(prepared: DataFrame, as_of=None, keep: list[str] | None = None
 
 
 def to_dead_letter(prepared: DataFrame, as_of=None, keep: list[str] | None = None,
-                   record_cols: list[str] | None = None) -> DataFrame:
+                   record_cols: list[str] | None = None, key_name: str = "s3_key") -> DataFrame:
     """The dead-letter record of every failed row."""
     keep = keep if keep is not None else [c for c in prepared.columns
                                           if not c.startswith("_") and c not in ("failure_reason", "data")]
@@ -130,21 +130,59 @@ def to_dead_letter(prepared: DataFrame, as_of=None, keep: list[str] | None = Non
         F.date_format(failed_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("failed_at"),
         F.lit(DLQ_RETRY_COUNT).alias("retry_count"),
         F.concat(F.lit(DLQ_PREFIX), F.date_format(failed_at, "yyyy/MM/dd/HH"), F.lit("/"),
-                 F.md5(original_record), F.lit(".json")).alias("s3_key"),
+                 F.md5(original_record), F.lit(".json")).alias(key_name),
+    )
+
+
+def classify_events(df: DataFrame, as_of=None, data_col: str = "data", payload_col: str | None = None,
+                    registry: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row per record with ``outcome`` and both column sets (one side NULL).
+
+    This is the single-pass form of B17: no filter sits between the parse and
+    the outputs, so Catalyst cannot push a predicate below the projection and
+    re-evaluate the parse inside it. Writing this frame partitioned by
+    ``outcome`` fills the processed zone and the dead-letter zone in one job.
+    """
+    prepared = prepare_records(df, data_col, payload_col, registry)
+    keep = keep if keep is not None else [c for c in prepared.columns
+                                          if not c.startswith("_") and c not in ("failure_reason", "data")]
+    record_cols = [c for c in prepared.columns if not c.startswith("_") and c != "failure_reason"]
+    ok = F.col("failure_reason").isNull()
+    enriched = enrich_events(prepared, as_of, keep=keep + ["failure_reason", "_stage", "_payload"] + [
+        c for c in record_cols if c not in keep])
+    dead = to_dead_letter(enriched, as_of, keep=[c for c in enriched.columns if not c.startswith("_")
+                                                 and c != "failure_reason"], record_cols=record_cols,
+                          key_name="dlq_s3_key")
+    ok_cols = ["event_type", "user_id", "timestamp", "event", "processed_at", "schema_version",
+               "event_hash", "s3_partition", "s3_key", "device_category"]
+    dlq_cols = ["original_event", "failure_reason", "original_record", "failed_at", "retry_count", "dlq_s3_key"]
+    return dead.select(
+        *keep, F.when(ok, "processed").otherwise("failed").alias("outcome"),
+        *[F.when(ok, F.col(c)).alias(c) for c in ok_cols],
+        *[F.when(~ok, F.col(c)).alias(c) if c != "failure_reason" else F.col(c) for c in dlq_cols],
     )
 
 
 def process_events(df: DataFrame, as_of=None, data_col: str = "data", payload_col: str | None = None,
-                   registry: dict | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                   registry: dict | None = None, keep: list[str] | None = None,
+                   materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(processed, dead_letters) from transport records.
 
-    Both outputs are filters of one projection. In a micro-batch
-    (``streaming.runners``) the projection is persisted once and both sinks
-    are written from it; in batch each output is its own scan.
+    With ``materialize`` the classified frame is checkpointed once (to the
+    shared ``spark.checkpoint.dir``) and both outputs read it, so the parse
+    runs once per record and lineage is cut against executor loss. In a
+    micro-batch the runner persists the batch instead.
     """
-    prepared = prepare_records(df, data_col, payload_col, registry)
-    ok = enrich_events(prepared.where(F.col("failure_reason").isNull()), as_of, keep)
-    failed = to_dead_letter(prepared.where(F.col("failure_reason").isNotNull()), as_of, keep)
+    keep = keep if keep is not None else [c for c in df.columns if c != data_col]
+    both = classify_events(df, as_of, data_col, payload_col, registry, keep)
+    if materialize:
+        both = both.checkpoint()
+    ok_cols = ["event_type", "user_id", "timestamp", "event", "processed_at", "schema_version",
+               "event_hash", "s3_partition", "s3_key", "device_category"]
+    dlq_cols = ["original_event", "failure_reason", "original_record", "failed_at", "retry_count"]
+    ok = both.where(F.col("outcome") == "processed").select(*keep, *ok_cols)
+    failed = both.where(F.col("outcome") == "failed").select(
+        *keep, *dlq_cols, F.col("dlq_s3_key").alias("s3_key"))
     return ok, failed
 
 
