@@ -106,7 +106,7 @@ def failure_reason(keys="keys", payload="payload", registry: dict | None = None)
     ts_v, ts_t, ts = F.col("_timestamp_v"), F.col("_timestamp_t"), F.col("_timestamp_s")
     am_v, am_t = F.col("_amount_v"), F.col("_amount_t")
 
-    known = (et_t == "STRING") & et.isin(*registry)
+    known = F.coalesce((et_t == "STRING") & et.isin(*registry), F.lit(False))
     et_shown = F.when(et_v.isNull() | (et_t == "VOID"), F.lit("None")).otherwise(F.coalesce(et, F.to_json(et_v)))
 
     missing = F.lit(None).cast("string")
@@ -116,7 +116,7 @@ def failure_reason(keys="keys", payload="payload", registry: dict | None = None)
             first = F.when(~F.array_contains(keys, fld), F.lit(fld)).otherwise(first)
         missing = F.when(et == etype, first).otherwise(missing)
 
-    bad_ts = is_truthy(ts_v) & ((ts_t != "STRING") | ~is_iso_timestamp(ts))
+    bad_ts = is_truthy(ts_v) & ((ts_t != "STRING") | ~F.coalesce(is_iso_timestamp(ts), F.lit(False)))
     is_num = am_t.rlike(_NUMBER_TYPE)
     bad_amount = (
         (et == "purchase") & am_v.isNotNull() & (am_t != "VOID")
