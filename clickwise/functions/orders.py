@@ -41,7 +41,7 @@ def item_failure(item_id, quantity, price_cents) -> Column:
     """Per-item rule of the checkout validator: quantity first, then price."""
     qty, price = _c(quantity), _c(price_cents)
     shown = F.coalesce(_c(item_id), F.lit("unknown"))
-    return (F.when(F.coalesce(qty, F.lit(0)).between(1, MAX_QUANTITY_PER_ITEM) == F.lit(False),
+    return (F.when(~F.coalesce(qty, F.lit(0)).between(1, MAX_QUANTITY_PER_ITEM),
                    F.concat(F.lit("Invalid quantity for item "), shown))
             .when(F.coalesce(price, F.lit(0)) <= 0, F.concat(F.lit("Invalid price for item "), shown)))
 
