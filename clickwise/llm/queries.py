@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwise.llm import decontaminate, packing, pii, quality, simhash, toxicity
+from clickwise.llm import ann, decontaminate, html, packing, pii, quality, simhash, toxicity
 from clickwise.llm.common import read
 
 
@@ -12,6 +12,14 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op2_html(spark, sf_dir):
+    return html.main_text(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op6_neighbours(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, k=20)
+
+
 def op4_simhash(spark, sf_dir):
     return (simhash.simhash_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, max_bits=2)
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
@@ -34,7 +42,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op4_simhash, op5_pii, op8_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html, op4_simhash, op5_pii, op6_neighbours, op8_toxicity, op9_quality, op10_packing)}
 
 
 def oracle_sql():
