@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwise.llm import ann, decontaminate, html, packing, pii, quality, simhash, toxicity
+from clickwise.llm import ann, decontaminate, html, packing, pii, quality, repeats, simhash, toxicity
 from clickwise.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op5_pii(spark, sf_dir):
     return pii.personal_data(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), length=100).drop("spans")
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -42,7 +46,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_html, op4_simhash, op5_pii, op6_neighbours, op8_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html, op4_simhash, op5_pii, op6_neighbours, op7_repeats, op8_toxicity, op9_quality, op10_packing)}
 
 
 def oracle_sql():
