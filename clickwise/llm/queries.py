@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwise.llm import ann, decontaminate, html, packing, pii, quality, repeats, simhash, toxicity
+from clickwise.llm import ann, decontaminate, html, license, packing, pii, quality, repeats, simhash, toxicity
 from clickwise.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op6_neighbours(spark, sf_dir):
     return ann.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, k=20)
 
 
+def op3_license(spark, sf_dir):
+    return license.license_scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash(spark, sf_dir):
     return (simhash.simhash_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, max_bits=2)
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
@@ -46,7 +50,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_html, op4_simhash, op5_pii, op6_neighbours, op7_repeats, op8_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html, op3_license, op4_simhash, op5_pii, op6_neighbours, op7_repeats, op8_toxicity, op9_quality, op10_packing)}
 
 
 def oracle_sql():
