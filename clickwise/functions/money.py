@@ -17,8 +17,8 @@ def _c(col) -> Column:
 
 
 def to_cents(col) -> Column:
-    """Money value (double with two decimals) -> exact BIGINT cents."""
-    return F.round(_c(col) * F.lit(100)).cast("long")
+    """Money value (double with two decimals) -> exact BIGINT cents; NULL where it does not fit."""
+    return F.round(_c(col) * F.lit(100)).try_cast("long")
 
 
 def cents_to_money(col) -> Column:

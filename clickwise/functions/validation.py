@@ -19,12 +19,7 @@ EVENT_REGISTRY: dict[str, list[str]] = {
     "search": ["user_id", "query", "timestamp"],
     "error": ["error_code", "message", "timestamp"],
 }
-OPTIONAL_FIELDS: dict[str, list[str]] = {
-    "page_view": ["referrer", "session_id", "device_type", "browser"],
-    "purchase": ["payment_method", "discount_code", "quantity"],
-    "search": ["filters", "results_count", "page_number"],
-    "error": ["user_id", "stack_trace", "endpoint"],
-}
+
 # Event types the synthetic producer emits (the second preset; see README).
 PRODUCER_REGISTRY: dict[str, list[str]] = {
     t: ["event_id", "user_id", "event_type", "product_id", "amount", "currency", "timestamp"]

@@ -216,7 +216,7 @@ def rate_exceeded(df: DataFrame, key_col: str, ts_col: str, limit: int = 2000, w
 def time_to_status(df: DataFrame, series: list[str], ts_col: str, tie_col: str, is_incident: Column,
                    is_target: Column, timeout_seconds: int = 600, bucket_seconds: int = 3600) -> DataFrame:
     """For each incident row, the first later target row of its series
-    within ``timeout_seconds`` (else timed out).
+    less than ``timeout_seconds`` later (else timed out).
 
     "Next target time" is a suffix minimum: inside each time bucket by a
     bucket-local window, across buckets from the per-bucket minima (a table
@@ -233,7 +233,7 @@ def time_to_status(df: DataFrame, series: list[str], ts_col: str, tie_col: str,
     rows = rows.where(F.col("_inc")).join(per_bucket, series + ["_bucket"], "left")
     nxt = F.coalesce(F.col("_next_local"), F.col("_next_bucket"))
     secs = F.timestamp_diff("SECOND", F.col(ts_col), nxt)
-    ok = nxt.isNotNull() & (secs <= timeout_seconds)
+    ok = nxt.isNotNull() & (F.timestamp_diff("MICROSECOND", F.col(ts_col), nxt) < timeout_seconds * 1_000_000)
     return rows.select(*[c for c in df.columns],
                        F.when(ok, nxt).alias("reached_at"), F.when(ok, secs).alias("seconds_to_status"),
                        (~ok).alias("timed_out"))

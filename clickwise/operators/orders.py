@@ -178,7 +178,7 @@ def apply_transitions(orders: DataFrame, results: DataFrame, kind: str) -> DataF
                            "trackingId": F.coalesce(F.col("_tracking"), F.col("trackingId"))})
     else:
         j = j.withColumn("notifiedEvents", F.when(F.col("_new_events").isNotNull(),
-                                                  F.array_union(F.col("notifiedEvents"), F.col("_new_events")))
+                                                  F.array_union(F.coalesce(F.col("notifiedEvents"), F.array().cast("array<string>")), F.col("_new_events")))
                          .otherwise(F.col("notifiedEvents")))
     return j.select(*orders.columns)
 
@@ -206,8 +206,9 @@ def insert_orders(requests: DataFrame, existing: DataFrame, pos_col: str = "posi
 
 def validate_checkout(df: DataFrame, body_col: str = "body", id_fallback: Column | None = None) -> DataFrame:
     """Checkout request check; ``orderId`` generated when absent."""
-    b = F.from_json(F.col(body_col), "customerId string, orderId string, items array<string>")
-    valid = F.try_parse_json(F.col(body_col)).isNotNull()
+    body = F.coalesce(F.nullif(F.col(body_col), F.lit("")), F.lit("{}"))
+    b = F.from_json(body, "customerId string, orderId string, items array<string>")
+    valid = F.try_parse_json(body).isNotNull()
     cust = F.trim(F.coalesce(b["customerId"], F.lit("")))
     fallback = id_fallback if id_fallback is not None else F.expr("uuid()")
     reason = (F.when(~valid, "Invalid JSON body")

@@ -57,7 +57,7 @@ def queries():
         p = table(s, d, "pages", "page_id", "html")
         code = F.when(F.col("page_id") % 10 == 0, 503).when(F.col("page_id") % 10 == 1, 301).otherwise(200)
         return p.select("page_id", code.alias("status_code"),
-                        failover_probe(code, F.left(F.col("html"), F.lit(512))).alias("outcome"))
+                        failover_probe(code, F.col("html")).alias("outcome"))
 
     def quorum(s, d):
         obs = health_checks(s, d).withColumn(
@@ -153,7 +153,7 @@ def oracle_sql():
 SELECT page_id, status_code,
   CASE WHEN status_code IN (200, 301, 302) AND ({markers}) THEN 'confirmed'
        WHEN status_code IN (200, 301, 302) THEN 'responding' ELSE 'not_failed_over' END AS outcome
-FROM (SELECT page_id, left(html, 512) AS body,
+FROM (SELECT page_id, html AS body,
              CASE WHEN page_id % 10 = 0 THEN 503 WHEN page_id % 10 = 1 THEN 301 ELSE 200 END AS status_code FROM pages)""",
         "health_quorum": _w("""
 , p AS (SELECT region, time_bucket(INTERVAL '300 seconds', ts) AS ps,
@@ -241,8 +241,8 @@ SELECT ip, window_start, sum(n) AS requests, sum(n) > 2000 AS blocked FROM ex GR
 n AS (SELECT *, min(CASE WHEN status = 'HEALTHY' THEN ts END)
                   OVER (ORDER BY ts, check_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM p)
 SELECT check_id, ts,
-  CASE WHEN ((epoch_us(nxt) - epoch_us(ts)) // 1000000) <= 600 THEN nxt END AS reached_at,
-  CASE WHEN ((epoch_us(nxt) - epoch_us(ts)) // 1000000) <= 600 THEN ((epoch_us(nxt) - epoch_us(ts)) // 1000000) END AS seconds_to_status,
-  NOT coalesce(((epoch_us(nxt) - epoch_us(ts)) // 1000000) <= 600, false) AS timed_out
+  CASE WHEN (epoch_us(nxt) - epoch_us(ts)) < 600000000 THEN nxt END AS reached_at,
+  CASE WHEN (epoch_us(nxt) - epoch_us(ts)) < 600000000 THEN ((epoch_us(nxt) - epoch_us(ts)) // 1000000) END AS seconds_to_status,
+  NOT coalesce((epoch_us(nxt) - epoch_us(ts)) < 600000000, false) AS timed_out
 FROM n WHERE status = 'UNHEALTHY'"""),
     }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,14 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         path = tempfile.mkdtemp(prefix="clickwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir (for written tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/clickwise/{name}-{uuid.uuid4().hex[:12]}"

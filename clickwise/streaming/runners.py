@@ -53,10 +53,10 @@ def latest_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame | N
     never become visible (the file committer publishes on success), and a
     replayed batch overwrites its own folder, never an older one.
     """
-    try:
-        df = spark.read.parquet(root)
-    except Exception:  # no state yet
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    df = spark.read.parquet(root)
     df = df.withColumn("batch_id", F.col("batch_id").cast("long")).where(F.col("batch_id") < batch_id)
     latest = df.agg(F.max("batch_id").alias("b")).first()["b"]
     if latest is None:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from clickwise.plans import catalog
 from clickwise.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -52,4 +53,4 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())

@@ -1,5 +1,7 @@
 """Checkout rules, idempotent insert and first-message-wins transitions."""
 
+from pyspark.sql import functions as F
+
 from clickwise.functions import orders as O
 from clickwise.operators import orders as OP
 
@@ -88,3 +90,21 @@ def test_subject(spark):
     df = spark.createDataFrame([("OrderShipped",), ("X" * 150,)], "t string")
     out = [r.s for r in df.select(O.notification_subject("t").alias("s")).collect()]
     assert out[0] == "Your Order Has Shipped" and len(out[1]) == 100
+
+
+def test_notified_once_over_two_batches(spark):
+    fresh = spark.createDataFrame([("7", "2024-03-01", None)], "orderId string, createdAt string, notifiedEvents array<string>")
+    base = _orders(spark)
+    orders = base.drop("notifiedEvents").limit(1).withColumns({"orderId": F.lit("7"), "createdAt": F.lit("2024-03-01")}).join(
+        fresh.drop("createdAt"), "orderId").select(*base.columns)
+    msgs = _msgs(spark, ['{"detail-type":"OrderPlaced","detail":{"orderId":"7"}}'])
+    first = OP.notify_orders(msgs, orders)
+    assert first.first().status == "notified"
+    after = OP.apply_transitions(orders, first, "notify")
+    assert OP.notify_orders(msgs, after).first().status == "already_notified"
+
+
+def test_checkout_body_that_is_absent_is_an_empty_object(spark):
+    df = spark.createDataFrame([(None,), ("",), ("{",)], "body string")
+    errors = [r.error for r in OP.validate_checkout(df).collect()]
+    assert errors == ["customerId is required", "customerId is required", "Invalid JSON body"]
