@@ -115,7 +115,7 @@ def _newton(x, swaps, y, l2, fairness, steps=50):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, min_docs: int = 3,
-          l1: float = 2e-3, l2: float = 1e-4, fairness: float = 1.0, steps: int = 200, max_columns: int = 1000) -> dict:
+          l1: float = 2e-3, l2: float = 1e-5, fairness: float = 1.0, steps: int = 200, max_columns: int = 1000) -> dict:
     """Fit on at most ``max_rows`` labelled texts outside fold 0 of 5. -> {"bias", "weights": {word hash: weight}}
 
     An L1 fit chooses at most ``max_columns`` columns; those are fitted again to convergence without L1.
