@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clickwise.functions.money import avg_money, cents_to_money, rounded_ratio, to_cents
+from clickwise.functions.money import amount_mean, amount_total, exact_amount, rounded_ratio
 from clickwise.functions.timeparts import current_month, last_days
 
 
@@ -27,13 +27,13 @@ def daily_revenue(df: DataFrame, as_of) -> DataFrame:
     src = current_month(df, as_of).where(_is("purchase"))
     agg = src.groupBy("year", "month", "day").agg(
         F.count(F.lit(1)).alias("total_purchases"),
-        F.sum(to_cents("amount")).alias("_cents"),
-        F.count("amount").alias("_n"),
+        F.try_sum(exact_amount("amount")).alias("_sum"),
+        F.count(exact_amount("amount")).alias("_n"),
     )
     return agg.select(
         "year", "month", "day", "total_purchases",
-        cents_to_money("_cents").alias("total_revenue"),
-        avg_money("_cents", "_n", rounded=False).alias("avg_order_value"),
+        amount_total("_sum").alias("total_revenue"),
+        amount_mean("_sum", "_n", rounded=False).alias("avg_order_value"),
     ).orderBy(F.desc("year"), F.desc("month"), F.desc("day"))
 
 
@@ -47,15 +47,15 @@ def top_spenders(df: DataFrame, as_of, n: int = 20) -> DataFrame:
     src = current_month(df, as_of).where(_is("purchase"))
     agg = src.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("purchase_count"),
-        F.sum(to_cents("amount")).alias("_cents"),
-        F.count("amount").alias("_n"),
+        F.try_sum(exact_amount("amount")).alias("_sum"),
+        F.count(exact_amount("amount")).alias("_n"),
         F.max("amount").alias("largest_order"),
         F.min("currency").alias("currency"),
     )
     return agg.select(
         "user_id", "purchase_count",
-        cents_to_money("_cents").alias("total_spend"),
-        avg_money("_cents", "_n").alias("avg_order_value"),
+        amount_total("_sum").alias("total_spend"),
+        amount_mean("_sum", "_n").alias("avg_order_value"),
         "largest_order", "currency",
     ).orderBy(F.desc("total_spend"), F.asc("user_id")).limit(n)
 
@@ -63,18 +63,18 @@ def top_spenders(df: DataFrame, as_of, n: int = 20) -> DataFrame:
 def category_funnel(df: DataFrame, as_of) -> DataFrame:
     """Q3: per category view/cart/purchase counts, revenue and conversion %."""
     src = current_month(df, as_of).select("product_category", "event_type", "amount")
-    purchase_cents = F.when(_is("purchase"), to_cents("amount"))
+    paid = F.when(_is("purchase"), exact_amount("amount"))
     stats = src.groupBy("product_category").agg(
         F.count_if(F.col("event_type") == "view").alias("view_count"),
         F.count_if(F.col("event_type") == "cart_add").alias("cart_add_count"),
         F.count_if(_is("purchase")).alias("purchase_count"),
-        F.sum(purchase_cents).alias("_cents"),
-        F.count(F.when(_is("purchase"), F.col("amount"))).alias("_n"),
+        F.try_sum(paid).alias("_sum"),
+        F.count(paid).alias("_n"),
     )
     return stats.select(
         "product_category", "view_count", "cart_add_count", "purchase_count",
-        cents_to_money("_cents").alias("total_revenue"),
-        avg_money("_cents", "_n").alias("avg_order_value"),
+        amount_total("_sum").alias("total_revenue"),
+        amount_mean("_sum", "_n").alias("avg_order_value"),
         rounded_ratio("cart_add_count", "view_count", 1, scale=100).alias("view_to_cart_pct"),
         rounded_ratio("purchase_count", "view_count", 1, scale=100).alias("view_to_purchase_pct"),
     ).orderBy(F.desc("total_revenue"))
@@ -88,11 +88,11 @@ def hourly_heatmap(df: DataFrame, as_of, days: int = 7) -> DataFrame:
         F.count_if(_is("purchase")).alias("purchase_events"),
         F.count_if(F.col("event_type") == "view").alias("view_events"),
         F.count_if(F.col("event_type") == "cart_add").alias("cart_add_events"),
-        F.sum(F.when(_is("purchase"), to_cents("amount"))).alias("_cents"),
+        F.try_sum(F.when(_is("purchase"), exact_amount("amount"))).alias("_sum"),
     )
     return agg.select(
         "year", "month", "day", "hour", "total_events", "purchase_events", "view_events",
-        "cart_add_events", cents_to_money("_cents").alias("hourly_revenue"),
+        "cart_add_events", amount_total("_sum").alias("hourly_revenue"),
     ).orderBy(F.desc("year"), F.desc("month"), F.desc("day"), F.desc("hour"))
 
 
@@ -106,15 +106,15 @@ def platform_country_breakdown(df: DataFrame, as_of, n: int = 50) -> DataFrame:
         "currency",
     ).agg(
         F.count(F.lit(1)).alias("purchase_count"),
-        F.sum(to_cents("amount")).alias("_cents"),
-        F.count("amount").alias("_n"),
+        F.try_sum(exact_amount("amount")).alias("_sum"),
+        F.count(exact_amount("amount")).alias("_n"),
         F.sum(disc_hundredths).alias("_disc"),
         F.count("discount_pct").alias("_nd"),
     )
     return agg.select(
         "platform", "country_code", "currency", "purchase_count",
-        cents_to_money("_cents").alias("total_revenue"),
-        avg_money("_cents", "_n").alias("avg_order_value"),
+        amount_total("_sum").alias("total_revenue"),
+        amount_mean("_sum", "_n").alias("avg_order_value"),
         rounded_ratio("_disc", "_nd", 1).alias("avg_discount_pct"),
     ).orderBy(F.desc("total_revenue"), "platform", "country_code", "currency").limit(n)
 
@@ -127,10 +127,10 @@ def event_breakdown(df: DataFrame) -> DataFrame:
     """
     counts = df.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.sum(F.when(_is("purchase"), to_cents("amount"))).alias("_cents"),
+        F.try_sum(F.when(_is("purchase"), exact_amount("amount"))).alias("_sum"),
     )
-    total = F.sum("_cents").over(Window.partitionBy())
+    total = F.try_sum("_sum").over(Window.partitionBy())
     return counts.select(
         "event_type", "event_count",
-        F.coalesce(cents_to_money(total), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(amount_total(total), F.lit(0.0)).alias("total_revenue"),
     )
