@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = "struct<n_words:long,spans:array<long>,items:array<string>>"
-UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """``text`` with A-Z lowered and nothing else: bytes know no other letters."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(UPPER))
+    return WORD.findall(lowered(text or ""))
 
 
 class SuffixAutomaton:
@@ -93,15 +97,19 @@ class SuffixAutomaton:
     def scan(self, ws):
         """Maximal hit word ranges ``[(start, end)]`` and the set of items found."""
         spans, found = [], set()
+        follow, link, lens, short_up, window = self.next, self.link, self.len, self.short_up, self.window
         state = length = 0
         for at, w in enumerate(ws, 1):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.len[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
-                length += 1
-            else:
+            to = follow[state].get(w)
+            while to is None and state:
+                state = link[state]
+                length = lens[state]
+                to = follow[state].get(w)
+            if to is None:
+                continue
+            state = to
+            length += 1
+            if length < window and short_up[state] < 0:
                 continue
             hit = 0
             if length >= self.window:
@@ -216,7 +224,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
             if text is None or not len(ranges):
                 out.append(text)
                 continue
-            at = [m.span() for m in WORD.finditer(text.translate(UPPER))]
+            at = [m.span() for m in WORD.finditer(lowered(text))]
             done, parts = 0, []
             for start, end in zip(ranges[::2], ranges[1::2]):
                 parts.append(text[done:at[start][0]])
