@@ -177,7 +177,14 @@ def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
     bias, weights = model["bias"], model["weights"]
 
     def run(texts):
-        z = np.array([bias + sum(sorted(weights.get(_hash(w), 0.0) for w in features(t))) for t in texts], float)
+        known: dict = {}  # the weighted features of each word of this batch
+
+        def held(text):
+            for w in {*words(text)}:
+                if w not in known:
+                    known[w] = tuple(h for h in map(_hash, features(w)) if h in weights)
+                yield from known[w]
+        z = np.array([bias + sum(sorted(weights[h] for h in {*held(t)})) for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return docs.withColumn(column, F.pandas_udf(run, "double")("text"))
