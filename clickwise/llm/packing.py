@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, eos], "<u4")
+                ids = np.array([*tok.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, eos], "<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     row = (None if pd.isna(doc) else int(doc), k, at, len(part), zlib.crc32(part.tobytes()))
