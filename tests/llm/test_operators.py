@@ -160,6 +160,21 @@ def test_search_finds_nine_in_ten(spark):
     assert hits >= 0.9 * 75 * 20 and not got.query_id.isin([9000, 9020, 9040]).any()
 
 
+def _recall(spark, x):
+    got = ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), k=20).toPandas()
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & {*np.lexsort((np.arange(len(x)), -s))[:20]})
+    return hits / len(range(0, len(x), 20)) / 20
+
+
+def test_search_holds_its_recall_without_clusters(spark):
+    assert _recall(spark, np.random.default_rng(1).standard_normal((10_000, 64))) >= 0.9
+
+
 def test_classifiers_learn_and_score_every_row(spark):
     docs = [(k, " ".join(["plain", "words", f"n{k}", "scum" if k % 3 == 0 else "nice"]) + ("." if k % 2 else " $$$%%%### !!! $$$"), "x") for k in range(120)]
     df = spark.createDataFrame([*docs, (500, None, "x"), (501, "", "x"), (None, "scum", "x")], DOCS)
