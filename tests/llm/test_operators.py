@@ -175,6 +175,13 @@ def test_search_holds_its_recall_without_clusters(spark):
     assert _recall(spark, np.random.default_rng(1).standard_normal((10_000, 64))) >= 0.9
 
 
+def test_search_holds_its_recall_under_unequal_norms(spark):
+    x = np.random.default_rng(2).standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100
+    assert _recall(spark, x) >= 0.9
+
+
 def test_classifiers_learn_and_score_every_row(spark):
     docs = [(k, " ".join(["plain", "words", f"n{k}", "scum" if k % 3 == 0 else "nice"]) + ("." if k % 2 else " $$$%%%### !!! $$$"), "x") for k in range(120)]
     df = spark.createDataFrame([*docs, (500, None, "x"), (501, "", "x"), (None, "scum", "x")], DOCS)
