@@ -1,19 +1,24 @@
 """Licence notices by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of a text. Its word 1- and 2-grams that occur in any
-notice template are its features; a multinomial logistic regression, fitted
-on a bounded sample, gives each family and the class ``unknown`` a
-calibrated probability (temperature on held-out rows). A predicted family
-stands only if one of its templates shares enough word pairs.
+A paragraph is a run of lines with letters or digits, so wrapped and
+commented notices are whole. Windows of a template's length, and of half as
+much again, that hold enough of its word pairs are judged one by one: their
+word 1- and 2-grams that occur in any notice template are the features; a
+multinomial logistic regression, fitted on a bounded sample of lines, gives
+each family and the class ``unknown`` a calibrated probability (temperature
+on held-out rows). A predicted family stands only if one of its templates
+shares enough word pairs. Of windows that overlap one stands.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickwise.llm.common import stored
+
 # Public notice wordings by family.
 TEMPLATES = (
     ("MIT", "released under the mit license"),
@@ -57,12 +62,46 @@ _INDEX = {g: k for k, g in enumerate(VOCABULARY)}
 _PAIRS = [[_INDEX[g] for g in _grams(t.split()) if " " in g] for _, t in TEMPLATES]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tag, para, text)``: the lines of each distinct row, numbered from 0."""
+def lines(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tag, para, line)``: the lines of each row, numbered from 0."""
     one = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
     return one.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("para", "line"))
 
 
+def _text_key():
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``(key, para, w)``: the words of each paragraph, numbered from 0; equal texts have one key."""
+    parts = docs.select(_text_key().alias("key"), F.posexplode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("para", "line"))
+    return parts.select("key", "para", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
+
+
+def _pairs_at(parts: DataFrame):
+    """The word pairs of each paragraph with their places."""
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return parts.select("key", "para", F.posexplode(pairs).alias("at", "gram"))
+
+
+def windows(docs: DataFrame, min_overlap: float) -> DataFrame:
+    """``(key, para, start, width, line)``: the windows that hold the share ``min_overlap`` of a template's pairs."""
+    spark, parts = docs.sparkSession, paragraphs(docs)
+    known = [(t, VOCABULARY[k], k, len(pairs)) for t, pairs in enumerate(_PAIRS) for k in pairs]
+    table = F.broadcast(spark.createDataFrame(known, "t int, gram string, k int, n int"))
+    hits = _pairs_at(parts).join(table, "gram")
+    likely = hits.groupBy("key", "para", "t").agg(F.count_distinct("k").alias("d"), F.first("n").alias("n")).where(F.col("d") >= min_overlap * F.col("n"))
+    some = stored(parts.join(likely.select("key", "para").distinct(), ["key", "para"], "left_semi").dropDuplicates(["key", "para"]), "license-paragraphs")
+    sizes = F.broadcast(spark.createDataFrame([(t, n + half * (n // 2)) for t, (_, text) in enumerate(TEMPLATES)
+                                               for n in [len(text.split())] for half in (0, 1)], "t int, width int"))
+    # Pairs at most width - 2 places on; in steps of width - 1.5 places one frame serves every width.
+    near = Window.partitionBy("key", "para", "t", "width").orderBy(F.col("at") / (F.col("width") - 1.5)).rangeBetween(0, 1)
+    found = (_pairs_at(some).join(table, "gram").join(sizes, "t").withColumn("d", F.size(F.collect_set("k").over(near)))
+             .where(F.col("d") >= min_overlap * F.col("n")).select("key", "para", F.col("at").alias("start"), "width"))
+    return (some.join(found.distinct(), ["key", "para"])
+            .select("key", "para", "start", "width", F.array_join(F.slice("w", F.col("start") + 1, F.col("width")), " ").alias("line")))
+
+
 def _features(spark, lines: DataFrame, *keys: str) -> DataFrame:
     """Add ``f``, the sorted vocabulary numbers in ``line``; lines without any are left out."""
     words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0))
@@ -86,7 +125,7 @@ def train(docs: DataFrame, max_unknown: int = 2000, epochs: int = 60, rate: floa
     Corpus lines that mention a licence may be notices, so they are no examples of ``unknown``.
     """
     spark = docs.sparkSession
-    plain = (paragraphs(docs).where(~F.lower("line").rlike("licen|copyright|gnu|apache|permission|redistribut|public domain"))
+    plain = (lines(docs).where(~F.lower("line").rlike("licen|copyright|gnu|apache|permission|redistribut|public domain"))
              .orderBy(F.xxhash64("doc_id", "tag", "para"), "doc_id", "tag", "para").limit(max_unknown))
     unknown = [r.f for r in _features(spark, plain, "doc_id", "tag", "para").select("f").collect()]
     rows = [(f, "unknown") for f in sorted(unknown)]
@@ -123,8 +162,8 @@ def train(docs: DataFrame, max_unknown: int = 2000, epochs: int = 60, rate: floa
 
 
 def notices(docs: DataFrame, model: dict, min_probability: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
-    """Confirmed notices: doc_id, tag, para, family, probability, overlap (of the best template)."""
-    found = _features(docs.sparkSession, paragraphs(docs), "doc_id", "tag", "para")
+    """Confirmed notices: key, para, start, family, probability, overlap (of the best template), none over another."""
+    found = _features(docs.sparkSession, windows(docs, min_overlap), "key", "para", "start", "width")
     weights = F.lit(model["w"])
     sums = F.aggregate("f", F.lit(model["bias"]), lambda acc, k: F.zip_with(acc, F.get(weights, k), lambda a, b: a + b))
     found = found.withColumn("z", sums)
@@ -134,10 +173,18 @@ def notices(docs: DataFrame, model: dict, min_probability: float = 0.5, min_over
     found = (found.withColumn("family", F.element_at(F.lit(FAMILIES), F.col("c")))
              .withColumn("probability", F.array_max("e") / total)
              .where((F.col("family") != "unknown") & (F.col("probability") >= min_probability)))
-    shared = F.greatest(*[F.when(F.col("family") == family, F.size(F.array_intersect("f", F.lit(pairs))) / len(pairs)).otherwise(0.0)
-                          for (family, _), pairs in zip(TEMPLATES, _PAIRS)])
-    return (found.withColumn("overlap", shared).where(F.col("overlap") >= min_overlap)
-            .select("doc_id", "tag", "para", "family", "probability", "overlap"))
+    def of_templates(value):
+        return F.greatest(*[F.when(F.col("family") == family, value(F.size(F.array_intersect("f", F.lit(pairs))), len(pairs))).otherwise(0.0)
+                            for (family, _), pairs in zip(TEMPLATES, _PAIRS)])
+    found = (found.withColumn("overlap", of_templates(lambda n, of: n / of)).where(F.col("overlap") >= min_overlap)
+             .withColumn("pairs", of_templates(lambda n, of: F.when(n >= min_overlap * of, n.cast("double")).otherwise(0.0))))
+    # The window of most pairs first, then the surest, then the narrowest; each that touches none taken before.
+    order = F.struct((-F.col("pairs")).alias("a"), (-F.col("probability")).alias("b"), "width", "start", "family", "probability", "overlap")
+    lists = found.groupBy("key", "para").agg(F.sort_array(F.collect_list(order)).alias("l"))
+    apart = lambda x, y: (x["start"] >= y["start"] + y["width"]) | (y["start"] >= x["start"] + x["width"])
+    taken = F.aggregate("l", F.slice("l", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
+    return (lists.select("key", "para", F.explode(taken).alias("x"))
+            .select("key", "para", "x.start", "x.family", "x.probability", "x.overlap"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -145,11 +192,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no notices. Rows equal in doc_id and text give one row.
     """
-    got = notices(docs, train(docs)).groupBy("doc_id", "tag").agg(
+    got = notices(docs, train(docs)).groupBy("key").agg(
         F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"),
         F.max("probability").alias("best_probability"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")).distinct()
-    same = rows["doc_id"].eqNullSafe(got["doc_id"]) & (rows["tag"] == got["tag"])
-    return rows.join(got, same, "left").select(
-        rows["doc_id"], F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"),
+    rows = docs.select("doc_id", _text_key().alias("key")).distinct()
+    return rows.join(got, "key", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"),
         F.coalesce("families", F.lit("")).alias("families"), "best_probability")

@@ -201,3 +201,14 @@ def test_license_scan(spark):
                         "A driving license is required"])
     got = {r.doc_id: (r.n_notices, r.families) for r in license.license_scan(docs).collect()}
     assert got == {0: (1, "MIT"), 1: (1, "Apache-2.0"), 2: (0, ""), 3: (0, ""), 4: (0, ""), 5: (0, "")}
+
+
+def test_license_scan_finds_wrapped_and_embedded_notices(spark):
+    bsd = " * Redistribution and use in source and binary forms, with or without modification,\n * are permitted provided that the following conditions are met:"
+    isc = "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that"
+    gpl = ("// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n"
+           "// the Free Software Foundation, either version 3 of the License, or")
+    filler = "the river went down to the old town and nobody saw the boats " * 30
+    got = {r.doc_id: (r.n_notices, r.families) for r in license.license_scan(rows(spark, [
+        bsd, isc, gpl, filler + "Released under the MIT License. " + filler, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", filler])).collect()}
+    assert got == {0: (1, "BSD"), 1: (1, "ISC"), 2: (1, "GPL-3.0"), 3: (1, "MIT"), 4: (2, "Apache-2.0,MIT"), 5: (0, "")}
