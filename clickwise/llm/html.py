@@ -4,6 +4,10 @@ Every page scores its containers; each host votes, in Spark, for the
 generalised tag-class path that gathers the most text over its pages; then
 each page is extracted again from the containers on its host's path. Pages
 that lack the path use their own best container.
+
+Elements that only their names (or a form tag) mark as furniture are judged
+by their text: one that holds an article or a main element is none, nor is
+one with most of the page's unlinked text, if no article or main is elsewhere.
 """
 
 from __future__ import annotations
@@ -34,16 +38,21 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table menu select".split())
 
+# Names that tell how a page or an article is laid out, not what the element is.
+_LAYOUT = re.compile(r"\b(?:with|without|has|have|no|hide|show|left|right|both|one|two)[-_]+[a-z]+(?:[-_]+[a-z]+)*"
+                     r"|\b(?:article|post|entry|story|page|content|section)[-_]+(?:header|heading)\b")
+
+_REPLIES = frozenset("comment comments reply replies disqus".split())
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "hidden", "score", "depth")
+    __slots__ = ("tag", "parent", "path", "hidden", "doubt", "worth", "holds")
 
-    def __init__(self, tag, parent, path, hidden):
-        self.tag, self.parent, self.path, self.hidden, self.score = tag, parent, path, hidden, 0.0
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag, parent, path, hidden, doubt=False):
+        self.tag, self.parent, self.path, self.hidden, self.doubt = tag, parent, path, hidden, doubt
+        self.worth, self.holds = 0, False
 
 
 class _Page(HTMLParser):
@@ -92,14 +101,17 @@ class _Page(HTMLParser):
         classes = sorted({c for w in found.get("class", "").lower().split() if (c := re.sub(r"[^a-z_-]+", "", w))})
         path = f"{self.at.path}>{'.'.join([tag, *classes])}"
         root = tag in ("html", "body", "main", "article")
-        named = {*_NAMES.findall(found.get("class", "").lower()), *_NAMES.findall(found.get("id", "").lower())}
+        named = {n for k in ("class", "id") for n in _NAMES.findall(_LAYOUT.sub(" ", found.get(k, "").lower()))}
         inside = ">article" in self.at.path or ">main" in self.at.path
-        hidden = (self.at.hidden or tag in HIDDEN or "hidden" in found or found.get("aria-hidden") == "true"
+        hidden = (self.at.hidden or tag in HIDDEN and tag != "form" or "hidden" in found or found.get("aria-hidden") == "true"
                   or found.get("role", "") in ROLES or (tag == "header" and not inside)
-                  or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
-                  or bool(named & (FURNITURE if not root else {"comment", "comments", "reply"}))
-                  and tag not in ("html", "body"))
-        self.at = _Node(tag, self.at, path, hidden)
+                  or bool(re.search(r"display\s*:\s*none", found.get("style", ""))))
+        doubt = tag == "form" or bool(named & (FURNITURE if not root else {"comment", "comments", "reply"})) and tag not in ("html", "body")
+        self.at = _Node(tag, self.at, path, hidden, doubt and not hidden)
+        if tag in ("article", "main") and not doubt and not hidden:
+            up = self.at.parent
+            while up:
+                up.holds, up = True, up.parent
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -139,7 +151,34 @@ def _blocks(html: str | None):
     page.feed(html or "")
     page.close()
     page.flush()
-    return page.blocks
+    top, total = page.at, 0
+    while top.parent:
+        top = top.parent
+    for node, text, links in page.blocks:
+        plain = max(0, len(text) - links)
+        total += plain
+        while node:
+            node.worth, node = node.worth + plain, node.parent
+
+    def furniture(node):
+        while node:
+            outside = top.holds and not re.search(">(?:article|main)", node.path)
+            if node.doubt and not node.holds and (outside or 2 * node.worth <= total):
+                return True
+            node = node.parent
+        return False
+    # Comments under an article stay furniture however long they are, if other text is there.
+    kept = [b for b in page.blocks if not furniture(b[0]) and not _replies(b[0])]
+    return kept or [b for b in page.blocks if not furniture(b[0])] or page.blocks
+
+
+def _replies(node):
+    """Whether ``node`` lies in comments: an element named so that holds no article."""
+    while node:
+        if node.doubt and not node.holds and _REPLIES & {*_NAMES.findall(node.path.rpartition(">")[2])}:
+            return True
+        node = node.parent
+    return False
 
 
 def _container(node):

@@ -139,6 +139,16 @@ def test_html_takes_the_article():
     assert html.extract(None, None) == "" and html.extract("", ">x") == ""
 
 
+def test_html_keeps_text_in_elements_named_like_furniture():
+    story, side = "<p>" + "The story goes on here. " * 9 + "</p>", "<div class='sidebar'>Side</div>"
+    want = ("The story goes on here. " * 9).strip()
+    for opened in ("<div class='content with-sidebar'>", "<div class='no-sidebar'>", "<div id='content' class='has-comments'>", "<div class='search'>"):
+        assert html.extract(f"<body>{side}{opened}{story}</div>", None) == want
+    assert html.extract(f"<body><form id=aspnet><nav>Menu</nav>{side}<div id=main>{story}</div></form>", None) == want
+    assert html.extract(f"<body><form class='page'><article>{story}</article>" + "<div class='comments'>" + "<p>words of a reader " * 40 + "</div></form>", None) == want
+    assert html.extract(f"<article><div class='article-header'><h1>Head</h1></div>{story}<div class='share'>Share</div></article>", None) == "Head\n" + want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<body><div class=m><p>long text here</p></div>"), (2, None, None)], "page_id long, url string, html string")
     assert {r.page_id: (r.text, r.n_chars) for r in html.main_text(pages).collect()} == {1: ("long text here", 14), 2: ("", 0)}
