@@ -72,26 +72,42 @@ def _text_key():
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(key, para, w)``: the words of each paragraph, numbered from 0; equal texts have one key."""
+def _pairs(w):
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _likely(words, min_overlap: float):
+    """Whether ``words`` hold the share ``min_overlap`` of any template's pairs; lambda arguments are computed once."""
+    every = F.lit(sorted({VOCABULARY[k] for pairs in _PAIRS for k in pairs}))
+
+    def any_template(g):
+        out = F.lit(False)
+        for pairs in _PAIRS:
+            out = out | (F.size(F.array_intersect(g, F.lit([VOCABULARY[k] for k in pairs]))) >= F.lit(min_overlap * len(pairs)))
+        return out
+    found = F.transform(F.array(words), lambda w: F.array_intersect(_pairs(w), every))
+    return F.exists(found, lambda g: (F.size(g) > 0) & any_template(g))
+
+
+def paragraphs(docs: DataFrame, min_overlap: float) -> DataFrame:
+    """``(key, para, w)``: the words of each paragraph that may hold a notice; equal texts have one key."""
     parts = docs.select(_text_key().alias("key"), F.posexplode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("para", "line"))
-    return parts.select("key", "para", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0))
+    return parts.where(_likely(words, min_overlap)).select("key", "para", words.alias("w"))
 
 
 def _pairs_at(parts: DataFrame):
     """The word pairs of each paragraph with their places."""
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return parts.select("key", "para", F.posexplode(pairs).alias("at", "gram"))
+    return parts.select("key", "para", F.posexplode(_pairs(F.col("w"))).alias("at", "gram"))
 
 
 def windows(docs: DataFrame, min_overlap: float) -> DataFrame:
     """``(key, para, start, width, line)``: the windows that hold the share ``min_overlap`` of a template's pairs."""
-    spark, parts = docs.sparkSession, paragraphs(docs)
+    spark = docs.sparkSession
     known = [(t, VOCABULARY[k], k, len(pairs)) for t, pairs in enumerate(_PAIRS) for k in pairs]
     table = F.broadcast(spark.createDataFrame(known, "t int, gram string, k int, n int"))
-    hits = _pairs_at(parts).join(table, "gram")
-    likely = hits.groupBy("key", "para", "t").agg(F.count_distinct("k").alias("d"), F.first("n").alias("n")).where(F.col("d") >= min_overlap * F.col("n"))
-    some = stored(parts.join(likely.select("key", "para").distinct(), ["key", "para"], "left_semi").dropDuplicates(["key", "para"]), "license-paragraphs")
+    some = stored(paragraphs(docs, min_overlap).dropDuplicates(["key", "para"]), "license-paragraphs")
     sizes = F.broadcast(spark.createDataFrame([(t, n + half * (n // 2)) for t, (_, text) in enumerate(TEMPLATES)
                                                for n in [len(text.split())] for half in (0, 1)], "t int, width int"))
     # Pairs at most width - 2 places on; in steps of width - 1.5 places one frame serves every width.
