@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -222,3 +223,10 @@ def test_license_scan_finds_wrapped_and_embedded_notices(spark):
     got = {r.doc_id: (r.n_notices, r.families) for r in license.license_scan(rows(spark, [
         bsd, isc, gpl, filler + "Released under the MIT License. " + filler, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", filler])).collect()}
     assert got == {0: (1, "BSD"), 1: (1, "ISC"), 2: (1, "GPL-3.0"), 3: (1, "MIT"), 4: (2, "Apache-2.0,MIT"), 5: (0, "")}
+
+
+def test_pipeline_returns_the_token_ids(spark):
+    import corpus_pipeline
+    got = corpus_pipeline.pack_sequences(spark, rows(spark, ["some words here", None]), "").collect()
+    assert {r.doc_id for r in got} == {0, 1} and all(len(r.ids) == r.length for r in got)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
