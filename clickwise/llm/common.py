@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickwise.session import ensure_checkpoint_dir
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches of few bytes, whatever their length."""
+    for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwise.llm import ann, decontaminate, html, license, packing, pii, quality, repeats, simhash, toxicity
+from clickwise.llm import ann, decontaminate, html, license, merkle, packing, pii, quality, repeats, secret_scan, simhash, toxicity, whitening
 from clickwise.llm.common import read
 
 
@@ -49,8 +49,21 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=4)
+
+
+def op12_secrets(spark, sf_dir):
+    return secret_scan.secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(read(spark, sf_dir, "documents", *merkle.FIELDS)).drop("copied")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_html, op3_license, op4_simhash, op5_pii, op6_neighbours, op7_repeats, op8_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html, op3_license, op4_simhash, op5_pii, op6_neighbours, op7_repeats, op8_toxicity, op9_quality, op10_packing,
+                                    op11_whitening, op12_secrets, op13_merkle)}
 
 
 def oracle_sql():
