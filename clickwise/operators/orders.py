@@ -21,38 +21,58 @@ from pyspark.sql import functions as F
 from clickwise.functions import orders as O
 from clickwise.operators.joins import bounded_broadcast
 
-MESSAGE_SCHEMA = (
-    "source string, `detail-type` string, "
-    "detail struct<orderId string, customerId string, createdAt string, trackingId string, total double>, "
-    "orderId string, customerId string, createdAt string, trackingId string"
-)
+ORDER_SCHEMA = ("orderId string, createdAt string, customerId string, status string, inventoryReserved boolean, "
+                "trackingId string, notifiedEvents array<string>")
 
 
 # ------------------------------------------------------------------ sources
+def _json_type(value: Column) -> Column:
+    """``OBJECT``, ``ARRAY``, ``STRING``, ``VOID`` (JSON null) ...; NULL where there is no value."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _no_key(value: Column, kind: Column) -> Column:
+    """True for what counts as absent: no key, null, empty text, zero, false, empty list or object."""
+    return F.coalesce(value.isNull() | (kind == "VOID")
+                      | F.to_json(value).isin('""', "0", "0.0", "false", "[]", "{}"), F.lit(True))
+
+
 def read_order_messages(df: DataFrame, body_col: str = "body") -> DataFrame:
     """A10: parse queue bodies; ``detail`` falls back to the whole body.
 
     Adds ``parse_ok``, ``source``, ``event_type`` (default ``OrderEvent``),
     ``order_id``, ``customer_id``, ``created_at``, ``tracking_id``. Empty
-    strings stand for absent keys, as ``dict.get(k, "")`` does.
+    strings stand for absent keys. A message fails (``parse_ok`` false) if
+    its body is no JSON object, if it has a ``detail`` that is none, or if
+    its id is neither absent nor text.
     """
-    parsed = F.from_json(F.col(body_col), MESSAGE_SCHEMA)
-    valid = F.try_parse_json(F.col(body_col)).isNotNull()
-    out = df.withColumn("_b", F.when(valid, parsed))
-    has_detail = F.col("_b.detail").isNotNull()
+    v = F.try_parse_json(F.col(body_col))
+    out = df.withColumn("_v", v)
+    out = out.withColumn("_body", F.when(_json_type(F.col("_v")) == "OBJECT", F.col("_v")))
+    out = out.withColumn("_given", F.try_variant_get("_body", "$.detail", "variant"))
+    out = out.withColumn("_d", F.when(F.col("_given").isNull(), F.col("_body"))
+                         .when(_json_type(F.col("_given")) == "OBJECT", F.col("_given")))
 
     def pick(name):
-        return F.coalesce(F.when(has_detail, F.col(f"_b.detail.{name}")).otherwise(F.col(f"_b.{name}")), F.lit(""))
+        value = F.try_variant_get("_d", f"$.{name}", "variant")
+        kind = _json_type(value)
+        return _no_key(value, kind), kind, F.try_variant_get("_d", f"$.{name}", "string")
 
+    def text(name):
+        none, _, value = pick(name)
+        return F.when(none, F.lit("")).otherwise(F.coalesce(value, F.lit("")))
+
+    none, kind, _ = pick("orderId")
+    ok = F.col("_d").isNotNull() & (none | (kind == "STRING"))
     return out.select(
         *df.columns,
-        valid.alias("parse_ok"),
-        F.col("_b.source").alias("source"),
-        F.coalesce(F.col("_b.`detail-type`"), F.lit(O.DEFAULT_EVENT_TYPE)).alias("event_type"),
-        pick("orderId").alias("order_id"),
-        pick("customerId").alias("customer_id"),
-        pick("createdAt").alias("created_at"),
-        pick("trackingId").alias("tracking_id"),
+        F.coalesce(ok, F.lit(False)).alias("parse_ok"),
+        F.try_variant_get("_body", "$.source", "string").alias("source"),
+        F.coalesce(F.try_variant_get("_body", '$["detail-type"]', "string"), F.lit(O.DEFAULT_EVENT_TYPE)).alias("event_type"),
+        text("orderId").alias("order_id"),
+        text("customerId").alias("customer_id"),
+        text("createdAt").alias("created_at"),
+        text("trackingId").alias("tracking_id"),
     )
 
 
@@ -78,21 +98,42 @@ def lookup_orders(msgs: DataFrame, orders: DataFrame, use_created_at: bool = Tru
     ``(orderId, createdAt)`` row; otherwise (or when empty) the first row of
     the ``orderId`` (smallest ``createdAt``, the hash+range store's order).
     Adds ``target_created_at`` and ``found`` plus the order columns ``o_*``.
+
+    The first row of an id comes whole from one ``groupBy``, so only messages
+    that name a time need the second join. Messages without an id, and those
+    that need no second look, get a join key of their own that matches
+    nothing: absent keys never meet in one task.
     """
-    first = orders.groupBy("orderId").agg(F.min("createdAt").alias("_first_created"))
-    m = msgs.join(first, msgs.order_id == first.orderId, "left").drop("orderId")
-    given = F.col("created_at") != "" if use_created_at else F.lit(False)
-    m = m.withColumn("target_created_at", F.when(given, F.col("created_at")).otherwise(F.col("_first_created")))
-    o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns])
-    out = m.join(o, (m.order_id == o.o_orderId) & (m.target_created_at == o.o_createdAt), "left")
-    return out.withColumn("found", F.col("o_orderId").isNotNull()).drop("_first_created")
+    lone = F.concat(F.lit("\u0000"), F.xxhash64(*msgs.columns).cast("string"))
+    row = F.struct(*[F.col(c) for c in orders.columns])
+    first = orders.groupBy(F.col("orderId").alias("_id")).agg(F.min_by(row, "createdAt").alias("_first"))
+    m = msgs.withColumn("_id", F.when(F.col("order_id") != "", F.col("order_id")).otherwise(lone)).join(first, "_id", "left")
+    if use_created_at:
+        other = (F.col("created_at") != "") & F.col("_first").isNotNull() & (F.col("created_at") != F.col("_first.createdAt"))
+        exact = orders.select(F.col("orderId").alias("_id"), F.col("createdAt").alias("_at"), row.alias("_exact"))
+        m = m.withColumn("_id", F.when(other, F.col("_id")).otherwise(lone)).withColumn("_at", F.col("created_at"))
+        m = m.join(exact, ["_id", "_at"], "left")
+        target = F.when(F.col("created_at") != "", F.col("created_at")).otherwise(F.col("_first.createdAt"))
+        hit = F.when(other, F.col("_exact")).otherwise(F.col("_first"))
+    else:
+        target, hit = F.col("_first.createdAt"), F.col("_first")
+    m = m.withColumn("target_created_at", target).withColumn("_hit", hit)
+    return m.select(*msgs.columns, "target_created_at", *[F.col(f"_hit.{c}").alias(f"o_{c}") for c in orders.columns],
+                    F.col("_hit").isNotNull().alias("found"))
 
 
 def _first_per_target(df: DataFrame, eligible: Column, pos_col: str, keys: list[str]) -> DataFrame:
-    """Mark the earliest eligible message per target key (``is_first``)."""
-    firsts = df.where(eligible).groupBy(*keys).agg(F.min(pos_col).alias("_first_pos"))
-    out = df.join(firsts, keys, "left")
-    return out.withColumn("is_first", eligible & (F.col(pos_col) == F.col("_first_pos"))).drop("_first_pos")
+    """Mark the earliest eligible message per target key (``is_first``).
+
+    The winners of all targets are a narrow frame; a message is joined to it
+    by target and position, so the messages of a hot target spread evenly.
+    """
+    firsts = df.where(eligible).groupBy(*keys).agg(F.min(pos_col).alias("_pos")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "_pos").withColumn("_won", F.lit(True))
+    cond = (F.col(pos_col) == F.col("_pos")) & eligible
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    return df.join(firsts, cond, "left").withColumn("is_first", F.coalesce("_won", F.lit(False))).drop("_won", "_pos", *[f"_{k}" for k in keys])
 
 
 def _status_frame(msgs: DataFrame, orders: DataFrame, pos_col: str, use_created_at: bool) -> DataFrame:
@@ -152,9 +193,11 @@ def notify_orders(msgs: DataFrame, orders: DataFrame, pos_col: str = "position")
                     F.when(status == "notified", O.notification_subject(F.col("event_type"))).alias("subject"))
 
 
-def apply_transitions(orders: DataFrame, results: DataFrame, kind: str) -> DataFrame:
+def apply_transitions(orders: DataFrame, results: DataFrame, kind: str, only_changed: bool = False) -> DataFrame:
     """Next snapshot = old rows updated by the winning results of one step.
 
+    With ``only_changed`` just the rows that a winner updates are returned.
+
     ``kind`` is ``reserve``, ``ship`` or ``notify``. Winners are unique per
     order row (or per row and event type for ``notify``, folded by one
     ``groupBy``), so the update join never multiplies rows.
@@ -169,7 +212,7 @@ def apply_transitions(orders: DataFrame, results: DataFrame, kind: str) -> DataF
     w = w.withColumnRenamed("orderId", "_oid").withColumnRenamed("target_created_at", "_cat")
     if kind == "ship":
         w = w.withColumnRenamed("trackingId", "_tracking")
-    j = orders.join(w, (orders.orderId == w._oid) & (orders.createdAt == w._cat), "left")
+    j = orders.join(w, (orders.orderId == w._oid) & (orders.createdAt == w._cat), "inner" if only_changed else "left")
     if kind == "reserve":
         j = j.withColumns({"status": F.when(F.col("_hit"), "INVENTORY_RESERVED").otherwise(F.col("status")),
                            "inventoryReserved": F.col("_hit").isNotNull() | F.col("inventoryReserved")})
@@ -219,6 +262,47 @@ def validate_checkout(df: DataFrame, body_col: str = "body", id_fallback: Column
                      F.when(reason.isNull(), 201).otherwise(400).alias("statusCode"))
 
 
+def place_orders(requests: DataFrame, existing: DataFrame, as_of: Column | None = None, id_col: str = "messageId",
+                 pos_col: str = "position", body_col: str = "body") -> DataFrame:
+    """C3 whole: check the request (B20), insert it once by ``orderId``, total it (D7), announce it.
+
+    ``statusCode`` is 400 (with ``error``), 201 (stored, with the
+    ``OrderPlaced`` envelope) or 200 (seen before, with the stored status).
+    An absent id is derived from the message id, so a replay gives it again.
+    """
+    at = F.current_timestamp() if as_of is None else as_of
+    made = F.concat(F.lit("O-"), F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 32))
+    v = validate_checkout(requests, body_col, made).withColumnRenamed("statusCode", "_code")
+    items = F.from_json(F.col(body_col), "items array<struct<price decimal(18,4), quantity decimal(18,4)>>")["items"]
+    money = "decimal(38,8)"
+    total = F.aggregate(items, F.lit(0).cast(money), lambda acc, x: (
+        acc + F.coalesce(x["price"], F.lit(0).cast("decimal(18,4)")) * F.coalesce(x["quantity"], F.lit(1).cast("decimal(18,4)"))).cast(money))
+    good = v.where(F.col("error").isNull()).withColumn("total", total.cast("double"))
+    placed = insert_orders(good, existing, pos_col)
+    new = F.col("statusCode") == 201
+    placed = placed.withColumn("createdAt", F.when(new, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")))
+    placed = to_envelope(placed, "microservices.checkout", "OrderPlaced",
+                         {c: F.col(c) for c in ("orderId", "customerId", "total", "createdAt")})
+    placed = placed.withColumn("envelope", F.when(new, F.col("envelope")))
+    bad = v.where(F.col("error").isNotNull()).withColumn("statusCode", F.lit(400))
+    return placed.unionByName(bad, allowMissingColumns=True).drop("_code")
+
+
+def placed_rows(results: DataFrame, columns: list[str]) -> DataFrame:
+    """The order rows that ``place_orders`` stores."""
+    known = {"orderId": F.col("orderId"), "createdAt": F.col("createdAt"), "customerId": F.col("customerId"),
+             "status": F.lit("PENDING"), "inventoryReserved": F.lit(False), "trackingId": F.lit(None).cast("string"),
+             "notifiedEvents": F.array().cast("array<string>"), "total": F.col("total")}
+    return results.where(F.col("statusCode") == 201).select(*[known.get(c, F.lit(None)).alias(c) for c in columns])
+
+
+def shipped_events(results: DataFrame) -> DataFrame:
+    """F2 + A13: one ``OrderShipped`` envelope per newly shipped order."""
+    new = results.where(F.col("status") == "shipped").withColumn("customerId", F.coalesce("customerId", F.lit("")))
+    return to_envelope(new, "microservices.shipment", "OrderShipped",
+                       {c: F.col(c) for c in ("orderId", "trackingId", "customerId")})
+
+
 def validate_order_lines(lines: DataFrame, order_col: str = "orderId", line_col: str = "line_no") -> DataFrame:
     """B21 + D7 over exploded lines (``item_id, quantity, price_cents``).
 
@@ -298,12 +382,15 @@ def latest_order_status(status_events: DataFrame, order_col: str = "orderId") ->
     )
 
 
+def disposition(receive_count: Column, max_receive: int) -> Column:
+    return F.when(receive_count > max_receive, "dead_letter").otherwise("delivered")
+
+
 def redrive(deliveries: DataFrame, max_receive: int = 3, id_col: str = "messageId") -> DataFrame:
     """receive count per message; beyond ``max_receive`` it is dead-lettered."""
     counts = deliveries.groupBy(id_col).agg(F.count(F.lit(1)).alias("receive_count"),
                                             F.max("received_at").alias("last_received_at"))
-    return counts.withColumn("disposition", F.when(F.col("receive_count") > max_receive, "dead_letter")
-                             .otherwise("delivered"))
+    return counts.withColumn("disposition", disposition(F.col("receive_count"), max_receive))
 
 
 def outcome_summary(results: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming runners.
+"""Structured Streaming runners (G1, G2, G4, G5, G7); orders are in ``order_streams``, periods in ``period_streams``.
 
 Stateless operators run unchanged on streaming frames. Stateful ones use
 ``foreachBatch``: each micro-batch is persisted once, processed with the
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from clickwise.operators import events as EV
 from clickwise.operators import monitoring as M
-from clickwise.operators import orders as OP
 
 
 def trigger(test: bool = False) -> dict:
@@ -80,27 +79,6 @@ def start_event_pipeline(stream: DataFrame, out_root: str, checkpoint: str, as_o
             .trigger(**trigger(test)).start())
 
 
-def start_inventory_stream(messages: DataFrame, initial_orders: str, state_root: str, out_root: str,
-                           checkpoint: str, test: bool = False):
-    """F1 across batches against a carried orders snapshot."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        orders = latest_state(spark, state_root, batch_id)
-        if orders is None:
-            orders = spark.read.parquet(initial_orders)
-        b = batch.persist()
-        try:
-            results = OP.reserve_inventory(b, orders)
-            results.write.mode("overwrite").parquet(_batch_dir(out_root, batch_id))
-            done = spark.read.parquet(_batch_dir(out_root, batch_id))
-            OP.apply_transitions(orders, done, "reserve").write.mode("overwrite") \
-                .parquet(_batch_dir(state_root, batch_id))
-        finally:
-            b.unpersist()
-    return (messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(**trigger(test)).start())
-
-
 def start_failover_stream(checks: DataFrame, primary: str, state_root: str, out_root: str, checkpoint: str,
                           initial_state: str = "ACTIVE_PRIMARY", test: bool = False):
     """E1 with counters carried between batches (one state row per region)."""
