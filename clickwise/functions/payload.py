@@ -6,23 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Lenient base64: characters outside the alphabet are skipped, and what
+# follows a closed padding is not read.
+_FOREIGN = "[^A-Za-z0-9+/=]+"
+_CLOSED = "^((?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)).*$"
+
+
 def decode_payload(data_col="data") -> Column:
-    """base64 -> UTF-8 text; NULL when the base64 or the UTF-8 is invalid.
+    """base64 -> UTF-8 text; NULL when the padding or the UTF-8 is invalid.
 
     ``try_to_binary`` rejects bad base64 (plain ``unbase64`` would silently
     return bytes), ``try_validate_utf8`` rejects invalid byte sequences.
     """
     data = F.col(data_col) if isinstance(data_col, str) else data_col
-    return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
+    kept = F.regexp_replace(F.regexp_replace(data, _FOREIGN, ""), _CLOSED, "$1")
+    return F.try_validate_utf8(F.try_to_binary(kept, F.lit("base64")).cast("string"))
 
 
 def parse_payload(payload_col="payload") -> Column:
     """JSON text -> VARIANT, NULL when the text is not valid JSON."""
     payload = F.col(payload_col) if isinstance(payload_col, str) else payload_col
     return F.try_parse_json(payload)
-
-
-def object_keys(payload_col="payload") -> Column:
-    """Top-level keys in document order; NULL unless the text is a JSON object."""
-    payload = F.col(payload_col) if isinstance(payload_col, str) else payload_col
-    return F.json_object_keys(payload)

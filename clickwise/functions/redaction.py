@@ -8,9 +8,8 @@ so the classes are spelled out and the boundaries written as look-arounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Replacement tokens of the reference sanitizer.
 EMAIL_TOKEN = "[REDACTED_EMAIL]"
@@ -26,12 +25,23 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _guarded(may_match: Column, found: Column, otherwise: Column) -> Column:
+    """``found`` only where a cheap test allows a match: most texts never meet the look-around pattern."""
+    return F.when(may_match, found).otherwise(otherwise)
+
+
+def _has_digits(col: Column) -> Column:
+    return col.rlike(r"(?U)\d{4}")
+
+
 def redact_email(col) -> Column:
-    return F.regexp_replace(_c(col), EMAIL_PATTERN, EMAIL_TOKEN)
+    c = _c(col)
+    return _guarded(c.contains("@"), F.regexp_replace(c, EMAIL_PATTERN, EMAIL_TOKEN), c)
 
 
 def redact_card(col) -> Column:
-    return F.regexp_replace(_c(col), CARD_PATTERN, CARD_TOKEN)
+    c = _c(col)
+    return _guarded(_has_digits(c), F.regexp_replace(c, CARD_PATTERN, CARD_TOKEN), c)
 
 
 def redact(col) -> Column:
@@ -40,19 +50,13 @@ def redact(col) -> Column:
 
 
 def count_emails(col) -> Column:
-    return F.size(F.regexp_extract_all(_c(col), F.lit(EMAIL_PATTERN), F.lit(0)))
+    c = _c(col)
+    return _guarded(c.contains("@"), F.size(F.regexp_extract_all(c, F.lit(EMAIL_PATTERN), F.lit(0))), F.when(c.isNotNull(), F.lit(0)))
 
 
 def count_cards(col) -> Column:
-    return F.size(F.regexp_extract_all(_c(col), F.lit(CARD_PATTERN), F.lit(0)))
-
-
-def sanitize_columns(df: DataFrame) -> DataFrame:
-    """Redact every top-level string column; nested and other types untouched."""
-    return df.select(*[
-        redact(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+    c = _c(col)
+    return _guarded(_has_digits(c), F.size(F.regexp_extract_all(c, F.lit(CARD_PATTERN), F.lit(0))), F.when(c.isNotNull(), F.lit(0)))
 
 
 def sanitize_object(map_col) -> Column:

@@ -20,21 +20,15 @@ EVENT_REGISTRY: dict[str, list[str]] = {
     "error": ["error_code", "message", "timestamp"],
 }
 
-# Event types the synthetic producer emits (the second preset; see README).
-PRODUCER_REGISTRY: dict[str, list[str]] = {
-    t: ["event_id", "user_id", "event_type", "product_id", "amount", "currency", "timestamp"]
-    for t in ("purchase", "view", "cart_add", "cart_remove")
-}
-
 _HH = r"(?:[01]\d|2[0-3])"
 _MM = r"[0-5]\d"
 _FRAC = r"(?:[.,]\d+)?"
 _TIME = rf"(?:{_HH}(?::{_MM}(?::{_MM}{_FRAC})?)?|{_HH}(?:{_MM}(?:{_MM}{_FRAC})?)?)"
 _TZ = rf"(?:[+-]{_HH}(?::?{_MM}(?::?{_MM}{_FRAC})?)?)"
 # ISO-8601 forms accepted by Python's datetime.fromisoformat (3.11+), except
-# ISO week dates: extended or basic date, optional time after any one
-# separator character, optional UTC offset.
-ISO_PATTERN = rf"^\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}})(?:.{_TIME}{_TZ}?)?$"
+# ISO week dates: extended or basic date from year 1, optional time after any
+# one separator character, optional UTC offset; nothing after it.
+ISO_PATTERN = rf"^(?!0000)\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}})(?:[\s\S]{_TIME}{_TZ}?)?\z"
 _DATE_PARTS = r"^(\d{4})-?(\d{2})-?(\d{2})"
 _NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
@@ -102,7 +96,8 @@ def failure_reason(keys="keys", payload="payload", registry: dict | None = None)
     am_v, am_t = F.col("_amount_v"), F.col("_amount_t")
 
     known = F.coalesce((et_t == "STRING") & et.isin(*registry), F.lit(False))
-    et_shown = F.when(et_v.isNull() | (et_t == "VOID"), F.lit("None")).otherwise(F.coalesce(et, F.to_json(et_v)))
+    et_shown = (F.when(et_v.isNull() | (et_t == "VOID"), F.lit("None"))
+                .when(et_t == "BOOLEAN", F.initcap(et)).otherwise(F.coalesce(et, F.to_json(et_v))))
 
     missing = F.lit(None).cast("string")
     for etype in reversed(list(registry)):

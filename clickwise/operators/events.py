@@ -27,6 +27,7 @@ DLQ_RETRY_COUNT = 0
 ERR_DECODE = "Processing error: payload is not valid base64-encoded UTF-8"
 ERR_JSON = "JSON parse error: payload is not valid JSON"
 ERR_NOT_OBJECT = "Processing error: payload is not a JSON object"
+ERR_TYPE = "Processing error: event_type is a list or an object"
 ERR_TIMESTAMP = "Processing error: timestamp is empty"
 ERR_DEVICE = "Processing error: device_type is not a string"
 
@@ -52,12 +53,14 @@ def prepare_records(df: DataFrame, data_col: str = "data", payload_col: str | No
     out = out.withColumn("_reason", failure_reason("_keys", "_payload", registry))
     dev_bad = F.array_contains("_keys", "device_type") & (
         F.col("_dev").isNull() | (F.schema_of_variant("_dev") != "STRING"))
-    out = out.withColumns({"_ts_falsy": ~is_truthy(F.col("_timestamp_v")), "_dev_bad": dev_bad})
+    # A list or an object can't be looked up among the types: an error, not an unknown type.
+    out = out.withColumns({"_ts_falsy": ~is_truthy(F.col("_timestamp_v")), "_dev_bad": dev_bad,
+                           "_odd_type": F.coalesce(F.col("_event_type_t").rlike("^(ARRAY|OBJECT)"), F.lit(False))})
     out = out.withColumn(
         "_stage",
         F.when(F.col("_payload").isNull(), "decode")
         .when(F.col("_v").isNull(), "parse")
-        .when(F.col("_m").isNull(), "decode")
+        .when(F.col("_m").isNull() | F.col("_odd_type"), "decode")
         .when(F.col("_reason").isNotNull(), "validate")
         .when(F.col("_ts_falsy") | F.col("_dev_bad"), "enrich"),
     )
@@ -66,6 +69,7 @@ def prepare_records(df: DataFrame, data_col: str = "data", payload_col: str | No
         F.when(F.col("_payload").isNull(), ERR_DECODE)
         .when(F.col("_v").isNull(), ERR_JSON)
         .when(F.col("_m").isNull(), ERR_NOT_OBJECT)
+        .when(F.col("_odd_type"), ERR_TYPE)
         .when(F.col("_reason").isNotNull(), F.col("_reason"))
         .when(F.col("_ts_falsy"), ERR_TIMESTAMP)
         .when(F.col("_dev_bad"), ERR_DEVICE),
@@ -153,34 +157,56 @@ def classify_events(df: DataFrame, as_of=None, data_col: str = "data", payload_c
     dead = to_dead_letter(enriched, as_of, keep=[c for c in enriched.columns if not c.startswith("_")
                                                  and c != "failure_reason"], record_cols=record_cols,
                           key_name="dlq_s3_key")
-    ok_cols = ["event_type", "user_id", "timestamp", "event", "processed_at", "schema_version",
-               "event_hash", "s3_partition", "s3_key", "device_category"]
     dlq_cols = ["original_event", "failure_reason", "original_record", "failed_at", "retry_count", "dlq_s3_key"]
     return dead.select(
         *keep, F.when(ok, "processed").otherwise("failed").alias("outcome"),
-        *[F.when(ok, F.col(c)).alias(c) for c in ok_cols],
+        *[F.when(ok, F.col(c)).alias(c) for c in OK_COLUMNS],
         *[F.when(~ok, F.col(c)).alias(c) if c != "failure_reason" else F.col(c) for c in dlq_cols],
     )
 
 
+OK_COLUMNS = ["event_type", "user_id", "timestamp", "event", "processed_at", "schema_version",
+              "event_hash", "s3_partition", "s3_key", "device_category"]
+
+
+def _one_side(df: DataFrame, passed: bool, data_col: str, payload_col: str | None, registry: dict | None) -> DataFrame:
+    # The row number keeps the filter above the parse: below it the parse would be repeated inside the filter.
+    prepared = prepare_records(df, data_col, payload_col, registry).withColumn("_row", F.monotonically_increasing_id())
+    ok = F.col("failure_reason").isNull()
+    return prepared.where((ok if passed else ~ok) & (F.col("_row") >= 0))
+
+
+def processed_events(df: DataFrame, as_of=None, data_col: str = "data", payload_col: str | None = None,
+                     registry: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The first side of ``process_events`` alone: nothing is stored, failed rows are not enriched."""
+    keep = keep if keep is not None else [c for c in df.columns if c != data_col]
+    return enrich_events(_one_side(df, True, data_col, payload_col, registry), as_of, keep)
+
+
+def failed_events(df: DataFrame, as_of=None, data_col: str = "data", payload_col: str | None = None,
+                  registry: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The second side of ``process_events`` alone: nothing is stored."""
+    keep = keep if keep is not None else [c for c in df.columns if c != data_col]
+    return to_dead_letter(_one_side(df, False, data_col, payload_col, registry), as_of, keep, list(df.columns))
+
+
 def process_events(df: DataFrame, as_of=None, data_col: str = "data", payload_col: str | None = None,
                    registry: dict | None = None, keep: list[str] | None = None,
                    materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(processed, dead_letters) from transport records.
+    """(processed, dead_letters) from transport records, for callers that read both.
 
     With ``materialize`` the classified frame is checkpointed once (to the
     shared ``spark.checkpoint.dir``) and both outputs read it, so the parse
     runs once per record and lineage is cut against executor loss. In a
-    micro-batch the runner persists the batch instead.
+    micro-batch the runner persists the batch instead. Who reads one side
+    calls ``processed_events`` or ``failed_events``.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != data_col]
     both = classify_events(df, as_of, data_col, payload_col, registry, keep)
     if materialize:
         both = both.checkpoint()
-    ok_cols = ["event_type", "user_id", "timestamp", "event", "processed_at", "schema_version",
-               "event_hash", "s3_partition", "s3_key", "device_category"]
     dlq_cols = ["original_event", "failure_reason", "original_record", "failed_at", "retry_count"]
-    ok = both.where(F.col("outcome") == "processed").select(*keep, *ok_cols)
+    ok = both.where(F.col("outcome") == "processed").select(*keep, *OK_COLUMNS)
     failed = both.where(F.col("outcome") == "failed").select(
         *keep, *dlq_cols, F.col("dlq_s3_key").alias("s3_key"))
     return ok, failed

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickwise.functions import orders as O
-from clickwise.operators.joins import bounded_broadcast
+from clickwise.session import ensure_checkpoint_dir
 
 ORDER_SCHEMA = ("orderId string, createdAt string, customerId string, status string, inventoryReserved boolean, "
                 "trackingId string, notifiedEvents array<string>")
@@ -31,12 +31,6 @@ def _json_type(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _no_key(value: Column, kind: Column) -> Column:
-    """True for what counts as absent: no key, null, empty text, zero, false, empty list or object."""
-    return F.coalesce(value.isNull() | (kind == "VOID")
-                      | F.to_json(value).isin('""', "0", "0.0", "false", "[]", "{}"), F.lit(True))
-
-
 def read_order_messages(df: DataFrame, body_col: str = "body") -> DataFrame:
     """A10: parse queue bodies; ``detail`` falls back to the whole body.
 
@@ -44,32 +38,27 @@ def read_order_messages(df: DataFrame, body_col: str = "body") -> DataFrame:
     ``order_id``, ``customer_id``, ``created_at``, ``tracking_id``. Empty
     strings stand for absent keys. A message fails (``parse_ok`` false) if
     its body is no JSON object, if it has a ``detail`` that is none, or if
-    its id is neither absent nor text.
+    its id is neither text nor something that counts as absent (null, zero,
+    false, an empty list or object).
     """
-    v = F.try_parse_json(F.col(body_col))
-    out = df.withColumn("_v", v)
+    out = df.withColumn("_v", F.try_parse_json(F.col(body_col)))
     out = out.withColumn("_body", F.when(_json_type(F.col("_v")) == "OBJECT", F.col("_v")))
     out = out.withColumn("_given", F.try_variant_get("_body", "$.detail", "variant"))
     out = out.withColumn("_d", F.when(F.col("_given").isNull(), F.col("_body"))
                          .when(_json_type(F.col("_given")) == "OBJECT", F.col("_given")))
-
-    def pick(name):
-        value = F.try_variant_get("_d", f"$.{name}", "variant")
-        kind = _json_type(value)
-        return _no_key(value, kind), kind, F.try_variant_get("_d", f"$.{name}", "string")
+    out = out.withColumn("_key", F.try_variant_get("_d", "$.orderId", "variant"))
+    no_text = F.col("_key").isNotNull() & (_json_type(F.col("_key")) != "STRING")
+    absent = F.to_json("_key").isin("null", "0", "0.0", "false", "[]", "{}")
 
     def text(name):
-        none, _, value = pick(name)
-        return F.when(none, F.lit("")).otherwise(F.coalesce(value, F.lit("")))
+        return F.coalesce(F.try_variant_get("_d", f"$.{name}", "string"), F.lit(""))
 
-    none, kind, _ = pick("orderId")
-    ok = F.col("_d").isNotNull() & (none | (kind == "STRING"))
     return out.select(
         *df.columns,
-        F.coalesce(ok, F.lit(False)).alias("parse_ok"),
+        (F.col("_d").isNotNull() & (~no_text | absent)).alias("parse_ok"),
         F.try_variant_get("_body", "$.source", "string").alias("source"),
         F.coalesce(F.try_variant_get("_body", '$["detail-type"]', "string"), F.lit(O.DEFAULT_EVENT_TYPE)).alias("event_type"),
-        text("orderId").alias("order_id"),
+        F.when(no_text, F.lit("")).otherwise(text("orderId")).alias("order_id"),
         text("customerId").alias("customer_id"),
         text("createdAt").alias("created_at"),
         text("trackingId").alias("tracking_id"),
@@ -104,7 +93,10 @@ def lookup_orders(msgs: DataFrame, orders: DataFrame, use_created_at: bool = Tru
     that need no second look, get a join key of their own that matches
     nothing: absent keys never meet in one task.
     """
-    lone = F.concat(F.lit("\u0000"), F.xxhash64(*msgs.columns).cast("string"))
+    # The row number also keeps filters above from repeating the parse below.
+    kept = msgs.columns
+    msgs = msgs.withColumn("_row", F.monotonically_increasing_id())
+    lone = F.concat(F.lit("\u0000"), F.col("_row").cast("string"))
     row = F.struct(*[F.col(c) for c in orders.columns])
     first = orders.groupBy(F.col("orderId").alias("_id")).agg(F.min_by(row, "createdAt").alias("_first"))
     m = msgs.withColumn("_id", F.when(F.col("order_id") != "", F.col("order_id")).otherwise(lone)).join(first, "_id", "left")
@@ -118,7 +110,7 @@ def lookup_orders(msgs: DataFrame, orders: DataFrame, use_created_at: bool = Tru
     else:
         target, hit = F.col("_first.createdAt"), F.col("_first")
     m = m.withColumn("target_created_at", target).withColumn("_hit", hit)
-    return m.select(*msgs.columns, "target_created_at", *[F.col(f"_hit.{c}").alias(f"o_{c}") for c in orders.columns],
+    return m.select(*kept, "target_created_at", *[F.col(f"_hit.{c}").alias(f"o_{c}") for c in orders.columns],
                     F.col("_hit").isNotNull().alias("found"))
 
 
@@ -136,14 +128,15 @@ def _first_per_target(df: DataFrame, eligible: Column, pos_col: str, keys: list[
     return df.join(firsts, cond, "left").withColumn("is_first", F.coalesce("_won", F.lit(False))).drop("_won", "_pos", *[f"_{k}" for k in keys])
 
 
-def _status_frame(msgs: DataFrame, orders: DataFrame, pos_col: str, use_created_at: bool) -> DataFrame:
-    parsed = read_order_messages(msgs)
-    return lookup_orders(parsed, orders, use_created_at)
+def _status_frame(msgs: DataFrame, orders: DataFrame, use_created_at: bool) -> DataFrame:
+    """Messages with their order rows, without the bodies; read once for the winners and once for the results."""
+    ensure_checkpoint_dir(msgs.sparkSession)
+    return lookup_orders(read_order_messages(msgs).drop("body"), orders, use_created_at).checkpoint()
 
 
 def reserve_inventory(msgs: DataFrame, orders: DataFrame, pos_col: str = "position") -> DataFrame:
     """skipped / not_found / already_reserved / reserved per message."""
-    m = _status_frame(msgs, orders, pos_col, True)
+    m = _status_frame(msgs, orders, True)
     eligible = F.col("parse_ok") & (F.col("order_id") != "") & F.col("found") \
         & ~F.coalesce(F.col("o_inventoryReserved"), F.lit(False))
     m = _first_per_target(m, eligible, pos_col, ["order_id", "target_created_at"])
@@ -152,14 +145,14 @@ def reserve_inventory(msgs: DataFrame, orders: DataFrame, pos_col: str = "positi
               .when(~F.col("found"), "not_found")
               .when(F.col("is_first"), "reserved")
               .otherwise("already_reserved"))
-    return m.select(*msgs.columns, F.col("order_id").alias("orderId"), F.col("target_created_at"),
+    return m.select(*[c for c in msgs.columns if c != "body"], F.col("order_id").alias("orderId"), F.col("target_created_at"),
                     status.alias("status"),
                     F.when(F.col("order_id") == "", F.lit("missing orderId")).alias("reason"))
 
 
 def ship_orders(msgs: DataFrame, orders: DataFrame, pos_col: str = "position") -> DataFrame:
     """skipped / not_found / already_shipped(+id) / shipped(+new id)."""
-    m = _status_frame(msgs, orders, pos_col, True)
+    m = _status_frame(msgs, orders, True)
     has_tracking = F.coalesce(F.col("o_trackingId"), F.lit("")) != ""
     eligible = F.col("parse_ok") & (F.col("order_id") != "") & F.col("found") & ~has_tracking
     m = _first_per_target(m, eligible, pos_col, ["order_id", "target_created_at"])
@@ -171,14 +164,14 @@ def ship_orders(msgs: DataFrame, orders: DataFrame, pos_col: str = "position") -
               .otherwise("already_shipped"))
     tracking = F.when(status.isin("shipped", "already_shipped"),
                       F.when(has_tracking, F.col("o_trackingId")).otherwise(new_id))
-    return m.select(*msgs.columns, F.col("order_id").alias("orderId"), F.col("target_created_at"),
+    return m.select(*[c for c in msgs.columns if c != "body"], F.col("order_id").alias("orderId"), F.col("target_created_at"),
                     F.col("o_customerId").alias("customerId"),
                     status.alias("status"), tracking.alias("trackingId"))
 
 
 def notify_orders(msgs: DataFrame, orders: DataFrame, pos_col: str = "position") -> DataFrame:
     """once per (order, event type): skipped / order_not_found / already_notified / notified."""
-    m = _status_frame(msgs, orders, pos_col, False)
+    m = _status_frame(msgs, orders, False)
     seen = F.array_contains(F.coalesce(F.col("o_notifiedEvents"), F.array().cast("array<string>")),
                             F.col("event_type"))
     eligible = F.col("parse_ok") & (F.col("order_id") != "") & F.col("found") & ~seen
@@ -188,7 +181,7 @@ def notify_orders(msgs: DataFrame, orders: DataFrame, pos_col: str = "position")
               .when(~F.col("found"), "order_not_found")
               .when(F.col("is_first"), "notified")
               .otherwise("already_notified"))
-    return m.select(*msgs.columns, F.col("order_id").alias("orderId"), F.col("target_created_at"),
+    return m.select(*[c for c in msgs.columns if c != "body"], F.col("order_id").alias("orderId"), F.col("target_created_at"),
                     F.col("event_type").alias("eventType"), status.alias("status"),
                     F.when(status == "notified", O.notification_subject(F.col("event_type"))).alias("subject"))
 
@@ -348,20 +341,26 @@ def create_orders(df: DataFrame, items_col: str = "items", as_of=None) -> DataFr
 
 
 # ------------------------------------------------------------------ routing, history, status
-def route_events(events: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
+def route_events(events: DataFrame, rules: DataFrame) -> DataFrame:
     """C4: every (event, target) whose rule matches source and detail type.
 
-    Rules are a small configuration table; its size is checked before it is
-    broadcast, and the match runs as a broadcast nested-loop join that emits
-    only matching pairs (at most one per rule and event).
+    Rules become rows keyed by detail type and either the exact source or a
+    source prefix of some length; an event looks up its source, and its
+    prefixes of just the lengths that rules use. Both are equi-joins, so the
+    plan is the same for ten rules or ten million.
     """
-    r = bounded_broadcast(rules, max_rules)
-    cond = (
-        ((F.col("source_exact").isNotNull() & (F.col("source") == F.col("source_exact")))
-         | (F.col("source_prefix").isNotNull() & F.col("source").startswith(F.col("source_prefix"))))
-        & F.array_contains(F.col("detail_types"), F.col("detail_type"))
-    )
-    return events.join(r, cond, "inner").drop("source_exact", "source_prefix", "detail_types")
+    r = rules.withColumn("detail_type", F.explode(F.array_distinct("detail_types")))
+    # An exact source that its own rule's prefix covers is left out: no event matches a rule twice.
+    exact = F.col("source_exact").isNotNull() & ~F.coalesce(F.col("source_exact").startswith(F.col("source_prefix")), F.lit(False))
+    keys = F.filter(F.array(
+        F.when(exact, F.struct(F.lit(-1).alias("n"), F.col("source_exact").alias("s"))),
+        F.when(F.col("source_prefix").isNotNull(), F.struct(F.length("source_prefix").alias("n"), F.col("source_prefix").alias("s")))),
+        lambda k: k.isNotNull())
+    r = r.select("target", "detail_type", F.explode(keys).alias("_k"))
+    lengths = [x.n for x in rules.select(F.length("source_prefix").alias("n")).where("n is not null").distinct().collect()]
+    probe = F.array(F.struct(F.lit(-1).alias("n"), F.col("source").alias("s")),
+                    *[F.struct(F.lit(n).alias("n"), F.when(F.length("source") >= n, F.substring("source", 1, n)).alias("s")) for n in sorted(lengths)])
+    return events.withColumn("_k", F.explode(probe)).join(r, ["_k", "detail_type"]).select(*events.columns, "target")
 
 
 def customer_orders(orders: DataFrame, start: str, end: str, customer_id: str | None = None) -> DataFrame:

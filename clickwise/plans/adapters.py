@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickwise.functions.timeparts import partition_parts
-from clickwise.operators.joins import bounded_broadcast
 from clickwise.sources.tables import table
 
 # Fixed values of the adapter mapping.
 CURRENCIES = ("GBP", "EUR", "USD")
 PLATFORMS = ("web", "ios", "android")
-# Nation is a fixed-size dimension; the bound guards the broadcast.
-NATION_MAX_ROWS = 10_000
 
 
 def _pick(idx, values) -> F.Column:
@@ -42,7 +39,7 @@ def events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Producer-shaped e-commerce events (the raw table of the five queries)."""
     ev = events_k(spark, sf_dir)
-    nation = bounded_broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), NATION_MAX_ROWS)
+    nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     ev = ev.join(nation, (ev.user_id % 25) == nation.n_nationkey, "left")
     k = F.col("k")
     is_purchase = F.col("event_type") == "purchase"
@@ -135,7 +132,7 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(m40 == 17, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")))
                .otherwise(F.concat(F.lit("{"), fields, ts_part, F.lit("}"))))
     b64 = F.regexp_replace(F.base64(F.encode(payload, "UTF-8")), r"[\r\n]", "")
-    data = F.when(m40 == 27, F.substring(b64, 2, 1 << 30)).otherwise(b64)
+    data = F.when(m40 == 27, F.substring(b64, F.lit(2), F.length(b64))).otherwise(b64)
     return ev.select(
         F.col("event_id").alias("record_id"),
         uid.alias("partition_key"),

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from clickwise.functions import redaction as R
-from clickwise.functions.validation import EVENT_REGISTRY, ISO_PATTERN
 from clickwise.operators import events as EV
 from clickwise.plans.adapters import RAW_PAYLOADS_SQL, raw_payloads
 from clickwise.plans.sqltext import with_views
@@ -28,12 +27,14 @@ def event_validation(spark, sf_dir):
 
 
 def enriched_events(spark, sf_dir):
-    ok, _ = EV.process_events(raw_payloads(spark, sf_dir), AS_OF, keep=_KEEP)
+    ok = EV.processed_events(raw_payloads(spark, sf_dir), AS_OF, keep=_KEEP)
     ev = F.from_json("event", "map<string,string>")
     return ok.select(
         "record_id", "event_type", "user_id", "timestamp", "schema_version", "s3_partition",
         F.regexp_extract("s3_key", r"^(\d+/\d+/\d+/\d+)/", 1).alias("s3_hour"),
-        "device_category",
+        "device_category", "processed_at",
+        (F.col("event_hash") == F.substring(F.sha2("event", 256), 1, 16)).alias("hash_of_event"),
+        F.col("s3_key").endswith(F.concat(F.lit("/"), "event_hash", F.lit(".json"))).alias("key_has_hash"),
         ev.getItem("page_url").alias("page_url"),
         ev.getItem("query").alias("query"),
         ev.getItem("message").alias("message"),
@@ -41,9 +42,15 @@ def enriched_events(spark, sf_dir):
 
 
 def dead_letters(spark, sf_dir):
-    _, failed = EV.process_events(raw_payloads(spark, sf_dir), AS_OF, keep=_KEEP)
+    failed = EV.failed_events(raw_payloads(spark, sf_dir), AS_OF, keep=_KEEP)
     return failed.select("record_id", "failure_reason", "original_event",
-                         F.md5("original_record").alias("record_md5"), "retry_count")
+                         F.md5("original_record").alias("record_md5"), "retry_count", "failed_at", "s3_key")
+
+
+def event_fingerprints(spark, sf_dir):
+    """The fingerprint of every processed event, and how many events share it (G2's key)."""
+    ok = EV.processed_events(raw_payloads(spark, sf_dir), AS_OF, keep=_KEEP)
+    return ok.groupBy("event_hash").agg(F.count(F.lit(1)).alias("events"), F.min("record_id").alias("first_record"))
 
 
 def batch_summary(spark, sf_dir):
@@ -55,11 +62,13 @@ def batch_summary(spark, sf_dir):
 def pii_redaction(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     no_email = R.redact_email("text")
-    return docs.select(
-        "doc_id",
-        R.count_emails("text").alias("emails_found"),
-        R.count_cards(no_email).alias("cards_found"),
-        F.md5(R.redact_card(no_email)).alias("redacted_md5"),
+    # One evaluation of each pattern: the row number keeps the two steps apart.
+    step = docs.select("doc_id", R.count_emails("text").alias("emails_found"), no_email.alias("_no_email"),
+                       F.monotonically_increasing_id().alias("_row"))
+    return step.where("_row >= 0").select(
+        "doc_id", "emails_found",
+        R.count_cards("_no_email").alias("cards_found"),
+        F.md5(R.redact_card("_no_email")).alias("redacted_md5"),
     )
 
 
@@ -68,6 +77,7 @@ def queries():
         "event_validation": event_validation,
         "enriched_events": enriched_events,
         "dead_letters": dead_letters,
+        "event_fingerprints": event_fingerprints,
         "batch_summary": batch_summary,
         "pii_redaction": pii_redaction,
     }
@@ -85,16 +95,29 @@ def _redact_sql(x: str) -> str:
     return f"regexp_replace({e}, '{_CARD_RE2}', '{R.CARD_TOKEN}', 'g')"
 
 
+# The rules as this oracle reads them: required keys per type in the order
+# they are checked, and ISO 8601 (extended or basic; any separator).
+_REQUIRED = {
+    "page_view": ["user_id", "page_url", "timestamp"],
+    "purchase": ["user_id", "product_id", "amount", "currency", "timestamp"],
+    "search": ["user_id", "query", "timestamp"],
+    "error": ["error_code", "message", "timestamp"],
+}
+_CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?|[0-5]\d([0-5]\d([.,]\d+)?)?)?"
+_OFFSET = r"[+-]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d+)?)?)?"
+_ISO = rf"(\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})((?s:.){_CLOCK}({_OFFSET})?)?"
+
+
 def _missing_sql() -> str:
     parts = []
-    for et, fields in EVENT_REGISTRY.items():
+    for et, fields in _REQUIRED.items():
         inner = " ".join(f"WHEN NOT list_contains(keys, '{f}') THEN '{f}'" for f in fields)
         parts.append(f"WHEN et = '{et}' THEN CASE {inner} END")
     return "CASE " + " ".join(parts) + " END"
 
 
 _NUM = "('BIGINT', 'UBIGINT', 'DOUBLE')"
-_TYPES = ", ".join(f"'{t}'" for t in EVENT_REGISTRY)
+_TYPES = ", ".join(f"'{t}'" for t in _REQUIRED)
 _DATE_PARTS = r"^(\d{4})-?(\d{2})-?(\d{2})"
 _ISO_PARTS = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2}))?"
 
@@ -119,7 +142,7 @@ checked AS (
     (ts_t IS NOT NULL AND ts_t <> 'NULL' AND NOT (ts_t = 'VARCHAR' AND ts = '')
       AND NOT (ts_t = 'BOOLEAN' AND ts = 'false') AND NOT (ts_t IN {_NUM} AND TRY_CAST(ts AS DOUBLE) = 0)
       AND NOT (CAST(json_extract(pj, '$.timestamp') AS VARCHAR) IN ('[]', '{{}}'))) AS ts_truthy,
-    (regexp_full_match(replace(ts, 'Z', '+00:00'), '{ISO_PATTERN[1:-1]}')
+    (regexp_full_match(replace(ts, 'Z', '+00:00'), '{_ISO}') AND ts NOT LIKE '0000%'
       AND try_strptime(regexp_extract(replace(ts, 'Z', '+00:00'), '{_DATE_PARTS}', 1) || '-' ||
                        regexp_extract(replace(ts, 'Z', '+00:00'), '{_DATE_PARTS}', 2) || '-' ||
                        regexp_extract(replace(ts, 'Z', '+00:00'), '{_DATE_PARTS}', 3), '%Y-%m-%d') IS NOT NULL) AS ts_iso,
@@ -168,19 +191,33 @@ SELECT record_id, et AS event_type, json_extract_string(pj, '$.user_id') AS user
          CASE WHEN {hour} = '' THEN '00' ELSE {hour} END AS s3_hour,
        CASE WHEN lower(coalesce(dev, 'unknown')) LIKE '%mobile%' THEN 'mobile'
             WHEN lower(coalesce(dev, 'unknown')) LIKE '%tablet%' THEN 'tablet' ELSE 'desktop' END AS device_category,
+       '2024-01-31T00:00:00.000000+00:00' AS processed_at, true AS hash_of_event, true AS key_has_hash,
        {_redact_sql("json_extract_string(pj, '$.page_url')")} AS page_url,
        {_redact_sql("json_extract_string(pj, '$.query')")} AS query,
        {_redact_sql("json_extract_string(pj, '$.message')")} AS message
 FROM classified WHERE failure_reason IS NULL""",
+        "event_fingerprints": w + f"""
+, fields AS (
+  SELECT record_id, unnest(json_keys(pj)) AS k, pj FROM classified WHERE failure_reason IS NULL),
+canonical AS (
+  SELECT record_id, '{{' || string_agg('"' || k || '":' || CASE WHEN json_type(pj, '$.' || k) = 'VARCHAR'
+      THEN '"' || {_redact_sql("json_extract_string(pj, '$.' || k)")} || '"'
+      WHEN json_type(pj, '$.' || k) = 'DOUBLE' THEN rtrim(rtrim(CAST(CAST(json_extract_string(pj, '$.' || k) AS DECIMAL(18, 4)) AS VARCHAR), '0'), '.')
+      ELSE CAST(json_extract(pj, '$.' || k) AS VARCHAR) END, ',' ORDER BY k) || '}}' AS body
+  FROM fields GROUP BY record_id),
+hashed AS (SELECT record_id, substr(sha256(body), 1, 16) AS event_hash FROM canonical)
+SELECT event_hash, count(*) AS events, min(record_id) AS first_record FROM hashed GROUP BY event_hash""",
         "dead_letters": w + f"""
-, staged AS (SELECT *, {_stage_sql()} AS stage FROM classified WHERE failure_reason IS NOT NULL)
-SELECT record_id, failure_reason,
+, staged AS (SELECT *, {_stage_sql()} AS stage FROM classified WHERE failure_reason IS NOT NULL),
+shaped AS (
+SELECT record_id, failure_reason, '2024-01-31T00:00:00.000000+00:00' AS failed_at,
        CASE WHEN stage = 'validate' THEN p WHEN stage = 'parse' THEN CAST(to_json({{'raw': left(p, 200)}}) AS VARCHAR)
             ELSE '{{}}' END AS original_event,
        md5(CASE WHEN stage IN ('validate', 'parse') THEN p
                 ELSE CAST(to_json({{'record_id': record_id, 'partition_key': partition_key, 'data': data}}) AS VARCHAR) END) AS record_md5,
        0 AS retry_count
-FROM staged""",
+FROM staged)
+SELECT *, 'failed-events/2024/01/31/00/' || record_md5 || '.json' AS s3_key FROM shaped""",
         "batch_summary": w + """
 SELECT count(*) FILTER (WHERE failure_reason IS NULL) AS processed_count,
        count(*) FILTER (WHERE failure_reason IS NOT NULL) AS failed_count,
