@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwise.functions.health import classify_health
 from clickwise.functions.money import to_cents
 from clickwise.operators.scans import maxplus_scan
 
@@ -30,28 +29,37 @@ def period_start(ts: Column, seconds: int) -> Column:
 
 
 # ------------------------------------------------------------------ B22, D8, D9
-def classify_checks(df: DataFrame, code_col: str = "status_code", latency_col: str = "response_time_ms") -> DataFrame:
-    """B22 on probe results: ``status`` and latency rounded to 2 decimals."""
-    return df.withColumns({"status": classify_health(F.col(code_col)),
-                           latency_col: F.round(F.col(latency_col), 2)})
+def quorum_periods(obs: DataFrame, by: list[str], ts_col: str, period_seconds: int,
+                   status_col: str = "checker_status") -> DataFrame:
+    """Checkers and healthy checkers (``Success`` in the status) per group and period."""
+    return obs.groupBy(*by, period_start(F.col(ts_col), period_seconds).alias("period_start")).agg(
+        F.count(F.lit(1)).alias("checkers"), F.count_if(F.col(status_col).contains("Success")).alias("healthy_checkers"))
+
+
+def quorum_status(periods: DataFrame, by: list[str], period_seconds: int) -> DataFrame:
+    """D8 from its periods: each period also fills the empty ones up to the group's next.
+
+    One pass over the aggregated periods, whose number is bounded by the
+    time span; nothing is read or joined a second time.
+    """
+    step = F.make_dt_interval(secs=F.lit(period_seconds))
+    w = Window.partitionBy(*by).orderBy("period_start")
+    following = F.coalesce(F.lead("period_start").over(w) - step, F.col("period_start"))
+    grid = periods.withColumn("_until", following).withColumn("_at", F.explode(F.sequence(F.col("period_start"), F.col("_until"), step)))
+    real = F.col("_at") == F.col("period_start")
+    out = grid.select(*by, F.col("_at").alias("period_start"),
+                      *[F.when(real, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("checkers", "healthy_checkers")])
+    status = (F.when(F.col("checkers") == 0, "UNKNOWN")
+              .when(F.col("healthy_checkers") > F.col("checkers") / 2, "HEALTHY").otherwise("UNHEALTHY"))
+    return out.withColumn("status", status)
 
 
 def health_quorum(obs: DataFrame, by: list[str], ts_col: str, period_seconds: int,
                   status_col: str = "checker_status") -> DataFrame:
     """Per (group, period) HEALTHY iff more than half the checkers report
     ``Success``; periods between a group's first and last observation with no
-    observation are UNKNOWN (the period list is generated per group from its
-    min/max, so its size is bounded by the time span)."""
-    p = obs.withColumn("_p", period_start(F.col(ts_col), period_seconds))
-    agg = p.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("checkers"),
-                                   F.count_if(F.col(status_col).contains("Success")).alias("healthy_checkers"))
-    span = p.groupBy(*by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    grid = span.select(*by, F.explode(F.sequence("_lo", "_hi", F.make_dt_interval(secs=F.lit(period_seconds))))
-                       .alias("_p"))
-    out = grid.join(agg, by + ["_p"], "left").fillna(0, ["checkers", "healthy_checkers"])
-    status = (F.when(F.col("checkers") == 0, "UNKNOWN")
-              .when(F.col("healthy_checkers") > F.col("checkers") / 2, "HEALTHY").otherwise("UNHEALTHY"))
-    return out.select(*by, F.col("_p").alias("period_start"), "checkers", "healthy_checkers", status.alias("status"))
+    observation are UNKNOWN."""
+    return quorum_status(quorum_periods(obs, by, ts_col, period_seconds, status_col), by, period_seconds)
 
 
 def response_time_metrics(df: DataFrame, ts_col: str = "ts", period_seconds: int = 60,
@@ -94,32 +102,50 @@ def failover_decisions(df: DataFrame, primary: str, region_col: str = "region",
 
 
 # ------------------------------------------------------------------ E2, E7
+def _later(col: str, k: Column, seconds: int) -> Column:
+    return F.col(col) + F.make_dt_interval(secs=(k * seconds).cast("decimal(18,6)"))
+
+
 def _consecutive(per_period: DataFrame, series: list[str], flag: str, n: int, period_seconds: int,
                  out: str) -> DataFrame:
     """``out`` = flag held on this period and the n-1 before it (missing = not held).
 
-    Each flagged period is expanded to the n periods it supports and counted
-    by ``groupBy`` - a bounded fan-out on an aggregated table, no window.
+    Each flagged period is expanded to the n periods it supports, the first
+    of them carrying its own row; one ``groupBy`` counts the support and
+    keeps the periods that exist. No window, no join.
     """
-    hits = per_period.where(F.col(flag)).select(
-        *series, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"), "period_start")
-    hits = hits.select(*series, (F.col("period_start") + F.make_dt_interval(
-        secs=(F.col("_k") * period_seconds).cast("decimal(18,6)"))).alias("period_start"))
-    support = hits.groupBy(*series, "period_start").agg(F.count(F.lit(1)).alias("_support"))
-    return per_period.join(support, series + ["period_start"], "left").withColumn(
-        out, F.coalesce(F.col("_support"), F.lit(0)) == n).drop("_support")
+    cols = [c for c in per_period.columns if c not in (*series, "period_start")]
+    reach = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    ex = per_period.withColumn("_k", F.explode(reach))
+    own = F.when(F.col("_k") == 0, F.struct(*cols))
+    got = ex.select(*series, _later("period_start", F.col("_k"), period_seconds).alias("period_start"), flag, own.alias("_own")).groupBy(
+        *series, "period_start").agg(F.count_if(flag).alias("_support"), F.max("_own").alias("_own"))
+    return got.where(F.col("_own").isNotNull()).select(
+        *series, "period_start", *[F.col(f"_own.{c}").alias(c) for c in cols], (F.col("_support") == n).alias(out))
+
+
+def alarm_periods(df: DataFrame, series: list[str], ts_col: str, value_col: str, period_seconds: int = 60) -> DataFrame:
+    """The mergeable statistics of each series and period."""
+    return df.groupBy(*series, period_start(F.col(ts_col), period_seconds).alias("period_start")).agg(
+        F.max(value_col).alias("max"), F.min(value_col).alias("min"), F.sum(value_col).alias("sum"), F.count(value_col).alias("count"))
+
+
+def alarm_states(periods: DataFrame, series: list[str], stat: str, op: str, threshold: float, n: int,
+                 period_seconds: int = 60) -> DataFrame:
+    """E2 from its periods: the statistic, whether it breaches, and the alarm after ``n`` breaches."""
+    value = F.col("sum") / F.col("count") if stat == "avg" else F.col(stat)
+    agg = periods.select(*series, "period_start", value.alias("stat_value"))
+    cmp = {">": F.col("stat_value") > threshold, ">=": F.col("stat_value") >= threshold,
+           "<": F.col("stat_value") < threshold, "<=": F.col("stat_value") <= threshold}[op]
+    agg = agg.withColumn("breaching", F.coalesce(cmp, F.lit(False)))
+    return _consecutive(agg, series, "breaching", n, period_seconds, "in_alarm")
 
 
 def metric_alarm(df: DataFrame, series: list[str], ts_col: str, value_col: str, stat: str, op: str,
                  threshold: float, periods: int, period_seconds: int = 60) -> DataFrame:
     """CloudWatch-style alarm; missing data is not breaching."""
-    fn = {"max": F.max, "sum": F.sum, "min": F.min, "avg": F.avg, "count": F.count}[stat]
-    p = df.withColumn("period_start", period_start(F.col(ts_col), period_seconds))
-    agg = p.groupBy(*series, "period_start").agg(fn(value_col).alias("stat_value"))
-    cmp = {">": F.col("stat_value") > threshold, ">=": F.col("stat_value") >= threshold,
-           "<": F.col("stat_value") < threshold, "<=": F.col("stat_value") <= threshold}[op]
-    agg = agg.withColumn("breaching", F.coalesce(cmp, F.lit(False)))
-    return _consecutive(agg, series, "breaching", periods, period_seconds, "in_alarm")
+    per = alarm_periods(df, series, ts_col, value_col, period_seconds)
+    return alarm_states(per, series, stat, op, threshold, periods, period_seconds)
 
 
 def consumer_lag(df: DataFrame, arrival_col: str, read_col: str) -> DataFrame:
@@ -144,28 +170,26 @@ def counter_increase(samples: DataFrame, series: list[str], ts_col: str = "ts",
 
 def _trailing_sum(per_period: DataFrame, keys: list[str], value_cols: list[str], n: int,
                   period_seconds: int) -> DataFrame:
-    """Sum of each value over the n periods ending at every period (expand + groupBy)."""
-    ex = per_period.select(*keys, "period_start", *value_cols,
-                           F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
-    ex = ex.withColumn("period_start", F.col("period_start") + F.make_dt_interval(
-        secs=(F.col("_k") * period_seconds).cast("decimal(18,6)")))
-    agg = ex.groupBy(*keys, "period_start").agg(*[F.sum(c).alias(c) for c in value_cols])
-    return agg.join(per_period.select(*keys, "period_start").distinct(), keys + ["period_start"], "inner")
+    """Sum of each value over the n periods ending at every period that exists (expand + one ``groupBy``)."""
+    ex = per_period.select(*keys, "period_start", *value_cols, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    ex = ex.withColumn("_real", F.col("_k") == 0).withColumn("period_start", _later("period_start", F.col("_k"), period_seconds))
+    agg = ex.groupBy(*keys, "period_start").agg(*[F.sum(c).alias(c) for c in value_cols], F.max("_real").alias("_real"))
+    return agg.where("_real").drop("_real")
 
 
 def error_rate_alert(samples: DataFrame, group: list[str], class_col: str = "status_class",
                      ts_col: str = "ts", value_col: str = "value", threshold: float = 0.05,
-                     window_minutes: int = 5, hold_minutes: int = 5) -> DataFrame:
+                     window_periods: int = 5, hold_periods: int = 5, period_seconds: int = 60) -> DataFrame:
     """5xx increase / all increase over the trailing window, per group (X8),
     firing when above ``threshold`` at every evaluation of the hold period."""
     inc = counter_increase(samples, group + [class_col], ts_col, value_col)
-    per = inc.withColumn("period_start", period_start(F.col(ts_col), 60)).groupBy(*group, "period_start").agg(
+    per = inc.groupBy(*group, period_start(F.col(ts_col), period_seconds).alias("period_start")).agg(
         F.sum(F.when(F.col(class_col) == "5xx", F.col("increase")).otherwise(0.0)).alias("errors"),
         F.sum("increase").alias("requests"))
-    win = _trailing_sum(per, group, ["errors", "requests"], window_minutes, 60)
+    win = _trailing_sum(per, group, ["errors", "requests"], window_periods, period_seconds)
     win = win.withColumn("error_ratio", F.when(F.col("requests") > 0, F.col("errors") / F.col("requests")))
     win = win.withColumn("above", F.coalesce(F.col("error_ratio") > threshold, F.lit(False)))
-    return _consecutive(win, group, "above", hold_minutes + 1, 60, "firing")
+    return _consecutive(win, group, "above", hold_periods + 1, period_seconds, "firing")
 
 
 def histogram_quantile(buckets: DataFrame, group: list[str], q: float = 0.95, le_col: str = "le",
@@ -174,45 +198,76 @@ def histogram_quantile(buckets: DataFrame, group: list[str], q: float = 0.95, le
 
     First bucket whose cumulative count reaches q * total; linear
     interpolation inside it from the previous bound (0 for the first). If
-    that is the ``+Inf`` bucket, the highest finite bound is returned.
+    that is the ``+Inf`` bucket, the highest finite bound is returned. Rows
+    of one bound are summed first; a bucket below an earlier one is raised to
+    it. NULL without observations, without a ``+Inf`` bucket, or if that is
+    the only one.
     """
-    agg = buckets.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(le_col).cast("double").alias("le"), F.col(count_col).cast("double").alias("cum")))).alias("_b"))
+    le = F.col(le_col).cast("double").alias("le")
+    each = buckets.groupBy(*group, le).agg(F.sum(F.col(count_col).cast("double")).alias("cum"))
+    agg = each.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("le", "cum"))).alias("_raw"))
+    # Bounds are few, so the running maximum stays inside the row.
+    b = F.aggregate("_raw", F.array().cast("array<struct<le: double, cum: double>>"), lambda acc, x: F.concat(acc, F.array(
+        F.struct(x["le"].alias("le"), F.greatest(F.coalesce(F.try_element_at(acc, F.lit(-1))["cum"], F.lit(0.0)), x["cum"]).alias("cum")))))
+    agg = agg.withColumn("_b", b)
     b = F.col("_b")
-    total = F.element_at(b, -1)["cum"]
-    rank = F.lit(q) * total
-    idx = F.array_position(F.transform(b, lambda x: x["cum"] >= rank), True)
-    hit = F.element_at(b, idx.cast("int"))
-    prev = F.when(idx > 1, F.element_at(b, (idx - 1).cast("int")))
+    top = F.try_element_at(b, F.lit(-1))
+    rank = F.lit(q) * top["cum"]
+    idx = F.array_position(F.transform(b, lambda x: x["cum"] >= rank), True).cast("int")
+    hit = F.try_element_at(b, F.when(idx > 0, idx))
+    prev = F.try_element_at(b, F.when(idx > 1, idx - 1))
     lower = F.coalesce(prev["le"], F.lit(0.0))
     prev_cum = F.coalesce(prev["cum"], F.lit(0.0))
-    finite_max = F.element_at(b, -2)["le"]
-    value = (F.when(total.isNull() | (total == 0), F.lit(None).cast("double"))
+    finite_max = F.try_element_at(b, F.lit(-2))["le"]
+    value = (F.when((top["le"] != float("inf")) | top["cum"].isNull() | (top["cum"] == 0), F.lit(None).cast("double"))
              .when(hit["le"] == float("inf"), finite_max)
              .when(hit["cum"] == prev_cum, hit["le"])
              .otherwise(lower + (hit["le"] - lower) * (rank - prev_cum) / (hit["cum"] - prev_cum)))
     return agg.select(*group, value.alias("quantile"))
 
 
-# ------------------------------------------------------------------ E5, E6
-def rate_exceeded(df: DataFrame, key_col: str, ts_col: str, limit: int = 2000, window_seconds: int = 300,
-                  slide_seconds: int = 30) -> DataFrame:
-    """E5: requests per key in every sliding window; ``blocked`` above ``limit``.
+def latency_alert(samples: DataFrame, group: list[str], le_col: str = "le", ts_col: str = "ts", value_col: str = "value",
+                  q: float = 0.95, threshold: float = 2.0, window_periods: int = 5, hold_periods: int = 5,
+                  period_seconds: int = 60) -> DataFrame:
+    """E4 as an alert on cumulative bucket counters ``(group, le, ts, value)``.
 
-    Counts per (key, slide) first, then each slide count feeds the
-    window_seconds / slide_seconds windows containing it.
+    Per (group, bound) the increase since the sample before (a drop is a
+    reset), summed over the trailing window; the quantile of these increases;
+    firing when it is above ``threshold`` at every evaluation of the hold.
     """
+    inc = counter_increase(samples, group + [le_col], ts_col, value_col)
+    per = inc.groupBy(*group, le_col, period_start(F.col(ts_col), period_seconds).alias("period_start")).agg(
+        F.sum("increase").alias("count"))
+    # A bound without samples in a period of its group still counts: windows are cut per group below.
+    ex = per.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(window_periods - 1))))
+    real = F.max(F.col("_k") == 0).over(Window.partitionBy(*group, "period_start"))
+    ex = ex.withColumn("period_start", _later("period_start", F.col("_k"), period_seconds))
+    win = ex.withColumn("_real", real).where("_real")
+    out = histogram_quantile(win, group + ["period_start"], q, le_col)
+    out = out.withColumn("above", F.coalesce(F.col("quantile") > threshold, F.lit(False)))
+    return _consecutive(out, group, "above", hold_periods + 1, period_seconds, "firing")
+
+
+# ------------------------------------------------------------------ E5, E6
+def rate_slides(df: DataFrame, key_col: str, ts_col: str, slide_seconds: int = 30) -> DataFrame:
+    """Requests per key and slide."""
+    return df.groupBy(key_col, period_start(F.col(ts_col), slide_seconds).alias("period_start")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def rate_windows(slides: DataFrame, key_col: str, limit: int = 2000, window_seconds: int = 300, slide_seconds: int = 30) -> DataFrame:
+    """E5 from its slides: each slide counts in the window_seconds / slide_seconds windows containing it."""
     n = window_seconds // slide_seconds
-    per = df.withColumn("period_start", period_start(F.col(ts_col), slide_seconds)).groupBy(
-        key_col, "period_start").agg(F.count(F.lit(1)).alias("requests"))
-    ex = per.select(key_col, "requests", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"),
-                    "period_start")
-    ex = ex.select(key_col, "requests", (F.col("period_start") - F.make_dt_interval(
-        secs=(F.col("_k") * slide_seconds).cast("decimal(18,6)"))).alias("window_start"))
-    out = ex.groupBy(key_col, "window_start").agg(F.sum("requests").alias("requests"))
+    ex = slides.select(key_col, "requests", "period_start", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    out = ex.groupBy(key_col, _later("period_start", -F.col("_k"), slide_seconds).alias("window_start")).agg(F.sum("requests").alias("requests"))
     return out.withColumn("blocked", F.col("requests") > limit)
 
 
+def rate_exceeded(df: DataFrame, key_col: str, ts_col: str, limit: int = 2000, window_seconds: int = 300,
+                  slide_seconds: int = 30) -> DataFrame:
+    """E5: requests per key in every sliding window; ``blocked`` above ``limit``."""
+    return rate_windows(rate_slides(df, key_col, ts_col, slide_seconds), key_col, limit, window_seconds, slide_seconds)
+
+
 def time_to_status(df: DataFrame, series: list[str], ts_col: str, tie_col: str, is_incident: Column,
                    is_target: Column, timeout_seconds: int = 600, bucket_seconds: int = 3600) -> DataFrame:
     """For each incident row, the first later target row of its series

@@ -3,6 +3,9 @@
 ``health_checks`` (ours): one probe result per event - region by user_id % 2
 (eu-west-2 is the primary), status code 503 for errors, 429 for signups,
 none (no response) when k % 17 = 0, else 200; latency = value (ms).
+
+``busy_checks`` (ours): the same with time running 60 times as fast, so that
+minutes hold several checks and rules over consecutive minutes can hold.
 """
 
 from __future__ import annotations
@@ -29,13 +32,45 @@ def health_checks(spark, sf_dir):
     return out.withColumn("status", classify_health(F.col("status_code")))
 
 
+START = "2024-01-01 00:00:00"
+SPEED = 60
+
+
+def busy_checks(spark, sf_dir):
+    hc = health_checks(spark, sf_dir)
+    start = F.lit(START).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", start, F.col("ts"))
+    return hc.withColumn("ts", start + F.make_dt_interval(secs=(F.floor(micros / F.lit(SPEED)) / F.lit(1_000_000)).cast("decimal(18,6)")))
+
+
+def _counter(per, series):
+    """Running totals of ``n`` per series that start again every hour."""
+    hour = M.period_start(F.col("ts"), 3600)
+    w = Window.partitionBy(*series, hour).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return per.select(*series, "ts", F.sum("n").over(w).cast("double").alias("value"))
+
+
 def http_counters(spark, sf_dir):
-    """Cumulative request counters per (region, status class), one sample per active minute."""
-    hc = health_checks(spark, sf_dir).where(F.col("status_code").isNotNull())
+    """Request counters per (region, status class), one sample per active minute, reset every hour."""
+    hc = busy_checks(spark, sf_dir).where(F.col("status_code").isNotNull())
     per = hc.groupBy("region", F.when(F.col("status_code") >= 500, "5xx").otherwise("other").alias("status_class"),
                      M.period_start(F.col("ts"), 60).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("region", "status_class").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("region", "status_class", "ts", F.sum("n").over(w).cast("double").alias("value"))
+    return _counter(per, ["region", "status_class"])
+
+
+# Upper bounds of the latency counters, in seconds; a check's seconds are its value / 75.
+LE_SECONDS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, float("inf")]
+VALUE_PER_SECOND = 75
+
+
+def latency_counters(spark, sf_dir):
+    """Latency bucket counters per (region, le), one sample per active minute, reset every hour."""
+    hc = busy_checks(spark, sf_dir).where(F.col("status_code").isNotNull())
+    per = hc.groupBy("region", M.period_start(F.col("ts"), 60).alias("ts")).agg(
+        *[F.count_if(F.col("response_time_ms") <= le * VALUE_PER_SECOND).alias(f"b{i}") for i, le in enumerate(LE_SECONDS)])
+    per = per.select("region", "ts", F.explode(F.array(*[
+        F.struct(F.lit(le).alias("le"), F.col(f"b{i}").alias("n")) for i, le in enumerate(LE_SECONDS)])).alias("b"))
+    return _counter(per.select("region", "ts", "b.le", "b.n"), ["region", "le"])
 
 
 def latency_buckets(spark, sf_dir, window_minutes: int = 5):
@@ -49,6 +84,20 @@ def latency_buckets(spark, sf_dir, window_minutes: int = 5):
     ).select("region", "period_start", "b.le", "b.count")
 
 
+def lagged_checks(spark, sf_dir):
+    """Checks read up to 90 seconds after they arrived."""
+    hc = busy_checks(spark, sf_dir)
+    delay = (F.col("check_id") * 7919 + F.col("user_id") * 31) % 90_000
+    return M.consumer_lag(hc.withColumn("read_at", F.col("ts") + F.make_dt_interval(secs=(delay / F.lit(1000)).cast("decimal(18,6)"))), "ts", "read_at")
+
+
+def ip_requests(spark, sf_dir):
+    return busy_checks(spark, sf_dir).select(F.concat(F.lit("10.0.0."), (F.col("user_id") % 8).cast("string")).alias("ip"), "ts")
+
+
+IP_LIMIT, ERROR_THRESHOLD = 10, 0.2
+
+
 def queries():
     def classification(s, d):
         return health_checks(s, d).select("check_id", "region", "status_code", "status", "response_time_ms")
@@ -56,8 +105,8 @@ def queries():
     def probe(s, d):
         p = table(s, d, "pages", "page_id", "html")
         code = F.when(F.col("page_id") % 10 == 0, 503).when(F.col("page_id") % 10 == 1, 301).otherwise(200)
-        return p.select("page_id", code.alias("status_code"),
-                        failover_probe(code, F.col("html")).alias("outcome"))
+        body = F.when(F.col("page_id") % 3 == 2, F.concat("html", F.lit("<!-- served by Secondary -->"))).otherwise(F.col("html"))
+        return p.select("page_id", code.alias("status_code"), failover_probe(code, body).alias("outcome"))
 
     def quorum(s, d):
         obs = health_checks(s, d).withColumn(
@@ -73,22 +122,21 @@ def queries():
         return M.metric_alarm(hc, ["region"], "ts", "is_5xx", "sum", ">=", 1, 1, 60)
 
     def alarm_lag(s, d):
-        hc = health_checks(s, d)
-        hc = hc.withColumn("read_at", M.period_start(F.col("ts"), 60) + F.expr("INTERVAL 60 SECONDS"))
-        return M.metric_alarm(M.consumer_lag(hc, "ts", "read_at"), ["region"], "ts", "iterator_age_ms",
-                              "max", ">", 60000, 5, 60)
+        return M.metric_alarm(lagged_checks(s, d), ["region"], "ts", "iterator_age_ms", "max", ">", 60000, 5, 60)
 
     def error_rate(s, d):
-        return M.error_rate_alert(http_counters(s, d), ["region"]).select(
+        return M.error_rate_alert(http_counters(s, d), ["region"], threshold=ERROR_THRESHOLD).select(
             "region", "period_start", "errors", "requests", "error_ratio", "firing")
 
+    def latency(s, d):
+        return M.latency_alert(latency_counters(s, d), ["region"])
+
     def p95(s, d):
         q = M.histogram_quantile(latency_buckets(s, d), ["region", "period_start"], 0.95)
-        return q.withColumn("above_2s", F.coalesce(F.col("quantile") > 2000, F.lit(False)))
+        return q.withColumn("above_100ms", F.coalesce(F.col("quantile") > 100, F.lit(False)))
 
     def rate_limit(s, d):
-        hc = health_checks(s, d).withColumn("ip", F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")))
-        return M.rate_exceeded(hc, "ip", "ts", 2000, 300, 30)
+        return M.rate_exceeded(ip_requests(s, d), "ip", "ts", IP_LIMIT, 300, 30)
 
     def recover(s, d):
         hc = health_checks(s, d).where(F.col("region") == PRIMARY)
@@ -106,6 +154,7 @@ def queries():
         "alarm_consumer_lag": alarm_lag,
         "error_rate_alert": error_rate,
         "latency_p95": p95,
+        "latency_alert": latency,
         "rate_limit_windows": rate_limit,
         "time_to_recover": recover,
     }
@@ -124,36 +173,48 @@ hc AS (
 )"""
 
 
+BUSY_SQL = f"""
+, busy AS (
+  SELECT * REPLACE (TIMESTAMP '{START}' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '{START}')) // {SPEED}) AS ts) FROM hc
+)"""
+
+
+def _busy(sql: str) -> str:
+    return "WITH " + HC_SQL.strip() + BUSY_SQL + sql
+
+
 def _w(sql: str) -> str:
     return "WITH " + HC_SQL.strip() + sql
 
 
-def oracle_sql():
-    markers = " OR ".join(f"strpos(body, '{m}') > 0" for m in SECONDARY_MARKERS)
-    le_cols = ", ".join(f"count(*) FILTER (WHERE response_time_ms <= {le if le != float('inf') else 1e308}) AS b{i}"
-                        for i, le in enumerate(LE_BOUNDS))
-    bsum = ", ".join(f"sum(b{i}) AS b{i}" for i in range(len(LE_BOUNDS)))
-    # histogram quantile over the fixed bounds, mirrored in SQL
-    les = LE_BOUNDS
-    q_parts = []
-    for i in range(len(les)):
+def _quantile_sql(les) -> str:
+    """The 0.95 quantile of the cumulative columns b0, b1, ... with bounds ``les``."""
+    last, parts = f"b{len(les) - 1}", []
+    for i, le in enumerate(les):
         lower = "0.0" if i == 0 else repr(les[i - 1])
         prev = "0" if i == 0 else f"b{i - 1}"
-        cond = f"b{i} >= CAST(0.95 AS DOUBLE) * b5" + "".join(f" AND NOT (b{j} >= CAST(0.95 AS DOUBLE) * b5)" for j in range(i))
-        if les[i] == float("inf"):
+        cond = f"b{i} >= CAST(0.95 AS DOUBLE) * {last}" + "".join(f" AND NOT (b{j} >= CAST(0.95 AS DOUBLE) * {last})" for j in range(i))
+        if le == float("inf"):
             val = repr(les[-2])
         else:
-            val = (f"CASE WHEN b{i} = {prev} THEN {les[i]!r} ELSE {lower} + ({les[i]!r} - {lower}) * "
-                   f"(CAST(0.95 AS DOUBLE) * b5 - {prev}) / CAST(b{i} - {prev} AS DOUBLE) END")
-        q_parts.append(f"WHEN {cond} THEN {val}")
-    quantile = "CASE WHEN b5 IS NULL OR b5 = 0 THEN NULL " + " ".join(q_parts) + " END"
+            val = (f"CASE WHEN b{i} = {prev} THEN {le!r} ELSE {lower} + ({le!r} - {lower}) * "
+                   f"(CAST(0.95 AS DOUBLE) * {last} - {prev}) / CAST(b{i} - {prev} AS DOUBLE) END")
+        parts.append(f"WHEN {cond} THEN {val}")
+    return f"CASE WHEN {last} IS NULL OR {last} = 0 THEN NULL " + " ".join(parts) + " END"
+
+
+def oracle_sql():
+    markers = " OR ".join(f"strpos(body, '{m}') > 0" for m in SECONDARY_MARKERS)
+    le_cols = ", ".join(f"count(*) FILTER (WHERE response_time_ms <= {le if le != float('inf') else 1e308}) AS b{i}"
+                        for i, le in enumerate(LE_BOUNDS))
+    quantile = _quantile_sql(LE_BOUNDS)
     return {
         "health_classification": _w("\nSELECT check_id, region, status_code, status, response_time_ms FROM hc"),
         "failover_probe": f"""
 SELECT page_id, status_code,
   CASE WHEN status_code IN (200, 301, 302) AND ({markers}) THEN 'confirmed'
        WHEN status_code IN (200, 301, 302) THEN 'responding' ELSE 'not_failed_over' END AS outcome
-FROM (SELECT page_id, html AS body,
+FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 2 THEN '<!-- served by Secondary -->' ELSE '' END AS body,
              CASE WHEN page_id % 10 = 0 THEN 503 WHEN page_id % 10 = 1 THEN 301 ELSE 200 END AS status_code FROM pages)""",
         "health_quorum": _w("""
 , p AS (SELECT region, time_bucket(INTERVAL '300 seconds', ts) AS ps,
@@ -189,39 +250,39 @@ FROM f"""),
 , a AS (SELECT region, time_bucket(INTERVAL '60 seconds', ts) AS period_start,
                sum(CASE WHEN coalesce(status_code >= 500, false) THEN 1 ELSE 0 END) AS stat_value FROM hc GROUP BY 1, 2)
 SELECT region, period_start, stat_value, stat_value >= 1 AS breaching, stat_value >= 1 AS in_alarm FROM a"""),
-        "alarm_consumer_lag": _w("""
-, l AS (SELECT region, ts, (epoch_us(time_bucket(INTERVAL '60 seconds', ts) + INTERVAL 60 SECOND) - epoch_us(ts)) // 1000 AS age FROM hc),
-a AS (SELECT region, time_bucket(INTERVAL '60 seconds', ts) AS period_start, max(age) AS stat_value FROM l GROUP BY 1, 2),
-b AS (SELECT *, coalesce(stat_value > 60000, false) AS breaching FROM a)
-SELECT b.region, b.period_start, b.stat_value, b.breaching,
-  (SELECT count(*) FROM b b2 WHERE b2.region = b.region AND b2.breaching
-     AND b2.period_start BETWEEN b.period_start - INTERVAL 240 SECOND AND b.period_start) = 5 AS in_alarm
+        "alarm_consumer_lag": _busy("""
+, a AS (SELECT region, time_bucket(INTERVAL '60 seconds', ts) AS period_start, max((check_id * 7919 + user_id * 31) % 90000) AS stat_value
+        FROM busy GROUP BY 1, 2),
+b AS (SELECT *, stat_value > 60000 AS breaching FROM a)
+SELECT region, period_start, stat_value, breaching,
+  count(*) FILTER (WHERE breaching) OVER (PARTITION BY region ORDER BY period_start RANGE BETWEEN INTERVAL 240 SECOND PRECEDING AND CURRENT ROW) = 5 AS in_alarm
 FROM b"""),
-        "error_rate_alert": _w("""
+        # A counter's increase is the requests of its minute, a reset included; only its first sample has none.
+        "error_rate_alert": _busy(f"""
 , c AS (SELECT region, CASE WHEN status_code >= 500 THEN '5xx' ELSE 'other' END AS cls,
                time_bucket(INTERVAL '60 seconds', ts) AS m, count(*) AS n
-        FROM hc WHERE status_code IS NOT NULL GROUP BY 1, 2, 3),
-per AS (SELECT region, m AS period_start, CAST(sum(n) FILTER (WHERE cls = '5xx') AS DOUBLE) AS e, CAST(sum(n) AS DOUBLE) AS r
-        FROM c GROUP BY 1, 2),
-per0 AS (SELECT region, period_start, coalesce(e, 0.0) - CASE WHEN first_e THEN coalesce(e, 0.0) ELSE 0.0 END AS e,
-                r - CASE WHEN first_any THEN 0 ELSE 0 END AS r FROM (
-           SELECT p.*, false AS first_e, false AS first_any FROM per p)),
-firsts AS (SELECT region, cls, min(m) AS fm FROM c GROUP BY 1, 2),
-adj AS (SELECT p.region, p.period_start,
-               p.e - coalesce((SELECT sum(c.n) FROM c JOIN firsts f USING (region, cls)
-                               WHERE c.region = p.region AND c.m = p.period_start AND c.m = f.fm AND c.cls = '5xx'), 0) AS e,
-               p.r - coalesce((SELECT sum(c.n) FROM c JOIN firsts f USING (region, cls)
-                               WHERE c.region = p.region AND c.m = p.period_start AND c.m = f.fm), 0) AS r
-        FROM per0 p),
-win AS (SELECT a.region, a.period_start, sum(b.e) AS errors, sum(b.r) AS requests
-        FROM adj a JOIN adj b ON a.region = b.region AND b.period_start BETWEEN a.period_start - INTERVAL 240 SECOND AND a.period_start
-        GROUP BY 1, 2),
-rat AS (SELECT *, CASE WHEN requests > 0 THEN errors / requests END AS error_ratio FROM win),
-ab AS (SELECT *, coalesce(error_ratio > 0.05, false) AS above FROM rat)
-SELECT x.region, x.period_start, x.errors, x.requests, x.error_ratio,
-  (SELECT count(*) FROM ab y WHERE y.region = x.region AND y.above
-     AND y.period_start BETWEEN x.period_start - INTERVAL 300 SECOND AND x.period_start) = 6 AS firing
-FROM ab x"""),
+        FROM busy WHERE status_code IS NOT NULL GROUP BY 1, 2, 3),
+inc AS (SELECT region, cls, m, CASE WHEN m = min(m) OVER (PARTITION BY region, cls) THEN 0 ELSE n END AS n FROM c),
+per AS (SELECT region, m AS period_start, coalesce(sum(n) FILTER (WHERE cls = '5xx'), 0) AS e, sum(n) AS r FROM inc GROUP BY 1, 2),
+win AS (SELECT region, period_start, CAST(sum(e) OVER w AS DOUBLE) AS errors, CAST(sum(r) OVER w AS DOUBLE) AS requests FROM per
+        WINDOW w AS (PARTITION BY region ORDER BY period_start RANGE BETWEEN INTERVAL 240 SECOND PRECEDING AND CURRENT ROW)),
+rat AS (SELECT *, CASE WHEN requests > 0 THEN errors / requests END AS error_ratio FROM win)
+SELECT region, period_start, errors, requests, error_ratio,
+  count(*) FILTER (WHERE error_ratio > {ERROR_THRESHOLD}) OVER (PARTITION BY region ORDER BY period_start
+     RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW) = 6 AS firing
+FROM rat"""),
+        "latency_alert": _busy(f"""
+, per AS (SELECT region, time_bucket(INTERVAL '60 seconds', ts) AS m, {", ".join(
+            "count(*)" + ("" if le == float("inf") else f" FILTER (WHERE response_time_ms <= {le * VALUE_PER_SECOND})") + f" AS b{i}" for i, le in enumerate(LE_SECONDS))}
+          FROM busy WHERE status_code IS NOT NULL GROUP BY 1, 2),
+inc AS (SELECT region, m AS period_start, {", ".join(f"CASE WHEN m = min(m) OVER (PARTITION BY region) THEN 0 ELSE b{i} END AS b{i}" for i in range(len(LE_SECONDS)))} FROM per),
+win AS (SELECT region, period_start, {", ".join(f"CAST(sum(b{i}) OVER w AS DOUBLE) AS b{i}" for i in range(len(LE_SECONDS)))} FROM inc
+        WINDOW w AS (PARTITION BY region ORDER BY period_start RANGE BETWEEN INTERVAL 240 SECOND PRECEDING AND CURRENT ROW)),
+q AS (SELECT region, period_start, {_quantile_sql(LE_SECONDS)} AS quantile FROM win)
+SELECT region, period_start, quantile, coalesce(quantile > 2.0, false) AS above,
+  count(*) FILTER (WHERE quantile > 2.0) OVER (PARTITION BY region ORDER BY period_start
+     RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW) = 6 AS firing
+FROM q"""),
         "latency_p95": _w(f"""
 , per AS (SELECT region, time_bucket(INTERVAL '60 seconds', ts) AS period_start, {le_cols}
           FROM hc WHERE status_code IS NOT NULL GROUP BY 1, 2),
@@ -230,12 +291,12 @@ win AS (SELECT a.region, a.period_start, {", ".join(f"sum(b.b{i}) AS b{i}" for i
          AND b.period_start BETWEEN a.period_start - INTERVAL 240 SECOND AND a.period_start
         GROUP BY 1, 2),
 q AS (SELECT region, period_start, {quantile} AS quantile FROM win)
-SELECT region, period_start, quantile, coalesce(quantile > 2000, false) AS above_2s FROM q"""),
-        "rate_limit_windows": _w("""
-, per AS (SELECT '10.0.0.' || CAST(user_id AS VARCHAR) AS ip, time_bucket(INTERVAL '30 seconds', ts) AS ps, count(*) AS n
-          FROM hc GROUP BY 1, 2),
+SELECT region, period_start, quantile, coalesce(quantile > 100, false) AS above_100ms FROM q"""),
+        "rate_limit_windows": _busy(f"""
+, per AS (SELECT '10.0.0.' || CAST(user_id % 8 AS VARCHAR) AS ip, time_bucket(INTERVAL '30 seconds', ts) AS ps, count(*) AS n
+          FROM busy GROUP BY 1, 2),
 ex AS (SELECT ip, n, ps - to_seconds(30 * k) AS window_start FROM per, range(0, 10) t(k))
-SELECT ip, window_start, sum(n) AS requests, sum(n) > 2000 AS blocked FROM ex GROUP BY 1, 2"""),
+SELECT ip, window_start, sum(n) AS requests, sum(n) > {IP_LIMIT} AS blocked FROM ex GROUP BY 1, 2"""),
         "time_to_recover": _w(f"""
 , p AS (SELECT * FROM hc WHERE region = '{PRIMARY}'),
 n AS (SELECT *, min(CASE WHEN status = 'HEALTHY' THEN ts END)

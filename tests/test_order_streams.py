@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,31 +9,12 @@ from pyspark.sql import functions as F
 from clickwise.operators import orders as OP
 from clickwise.streaming import order_streams as OS
 from clickwise.streaming.batch_log import BatchLog, newest_by
+from stream_help import feed, replay_last, table
 
 MESSAGES = "messageId string, position long, body string"
 AT = "2031-05-06 07:08:09"
 
 
-def feed(spark, path, batches, schema=MESSAGES):
-    """One file per batch; files are read in order of their time."""
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        for f in os.listdir(path):
-            if f.endswith(".parquet") and f"-b{k}-" not in f and not any(f"-b{j}-" in f for j in range(k)):
-                os.rename(os.path.join(path, f), os.path.join(path, f"part-b{k}-{f}"))
-                os.utime(os.path.join(path, f"part-b{k}-{f}"), (1_700_000_000 + k, 1_700_000_000 + k))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def replay_last(checkpoint):
-    """Forget that the last batch was committed, as if the driver had died before."""
-    last = max(int(f) for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
-    for name in (str(last), f".{last}.crc"):
-        if os.path.exists(f"{checkpoint}/commits/{name}"):
-            os.remove(f"{checkpoint}/commits/{name}")
-    return last
-
-
 def snapshot(spark, path):
     rows = [("p", "2031-01-01", "ann", "PENDING", False, None, []), ("p", "2031-02-01", "ann", "PENDING", False, None, None),
             ("q", "2031-01-05", "bob", "PENDING", True, "T-7", ["OrderPlaced"]), ("r", "2031-01-09", "cy", "PENDING", False, None, [])]
@@ -50,15 +30,11 @@ FIRST = [envelope("p"), envelope("q"), "{broken", envelope("zz"), envelope("p",
 SECOND = [envelope("p"), envelope("r"), envelope("r"), json.dumps({"orderId": "r"}), envelope(""), envelope("p", "OrderShipped")]
 
 
-def table(df, *cols):
-    return sorted((tuple(str(r[c]) for c in cols) for r in df.collect()))
-
-
 @pytest.mark.parametrize("kind, compact", [("reserve", 16), ("ship", 1), ("notify", 2)])
 def test_two_batches_and_a_replay(spark, tmp_dir, kind, compact):
     initial = snapshot(spark, f"{tmp_dir}/orders")
     batches = [[(f"m{i}", i, b) for i, b in enumerate(FIRST)], [(f"n{i}", 100 + i, b) for i, b in enumerate(SECOND)]]
-    stream = feed(spark, f"{tmp_dir}/in", batches)
+    stream = feed(spark, f"{tmp_dir}/in", batches, MESSAGES)
     run = lambda: OS.start_transition_stream(stream, kind, f"{tmp_dir}/state", f"{tmp_dir}/out", f"{tmp_dir}/ck", initial, compact, test=True).awaitTermination(180)
     run()
     cols = ["messageId", "status"] + (["trackingId"] if kind == "ship" else [])
@@ -91,7 +67,7 @@ def test_checkout_stream(spark, tmp_dir):
     body = lambda oid, **more: json.dumps({"orderId": oid, "customerId": " dee ", "items": item, **more})
     batches = [[("a", 1, body("new")), ("b", 2, body("q")), ("c", 3, body("new")), ("d", 4, "]"), ("e", 5, body("x", items=[])), ("f", 6, body(None))],
                [("g", 7, body("new")), ("h", 8, body("other")), ("i", 9, body("x", customerId=" "))]]
-    stream = feed(spark, f"{tmp_dir}/in", batches)
+    stream = feed(spark, f"{tmp_dir}/in", batches, MESSAGES)
     run = lambda: OS.start_checkout_stream(stream, f"{tmp_dir}/state", f"{tmp_dir}/out", f"{tmp_dir}/ck", initial, F.lit(AT).cast("timestamp"), test=True).awaitTermination(180)
     run()
     replay_last(f"{tmp_dir}/ck")
