@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Lenient base64: characters outside the alphabet are skipped, and what
-# follows a closed padding is not read.
+# Lenient base64: characters outside the alphabet are skipped, what follows a
+# closed padding is not read, and padding before more text is skipped. Text
+# that is then no whole number of groups becomes "*", which does not decode.
+_A = "[A-Za-z0-9+/]"
 _FOREIGN = "[^A-Za-z0-9+/=]+"
-_CLOSED = "^((?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)).*$"
+_CLOSED = f"^((?:{_A}{{4}})*(?:{_A}{{2}}==|{_A}{{3}}=)).*$"
+_STRAY = f"=+(?={_A})"
+_BROKEN = f"^(?!(?:{_A}{{4}})*(?:{_A}{{2}}==|{_A}{{3}}=)?$).*$"
 
 
 def decode_payload(data_col="data") -> Column:
@@ -18,9 +22,10 @@ def decode_payload(data_col="data") -> Column:
     ``try_to_binary`` rejects bad base64 (plain ``unbase64`` would silently
     return bytes), ``try_validate_utf8`` rejects invalid byte sequences.
     """
-    data = F.col(data_col) if isinstance(data_col, str) else data_col
-    kept = F.regexp_replace(F.regexp_replace(data, _FOREIGN, ""), _CLOSED, "$1")
-    return F.try_validate_utf8(F.try_to_binary(kept, F.lit("base64")).cast("string"))
+    text = F.col(data_col) if isinstance(data_col, str) else data_col
+    for pattern, to in ((_FOREIGN, ""), (_CLOSED, "$1"), (_STRAY, ""), (_BROKEN, "*")):
+        text = F.regexp_replace(text, pattern, to)
+    return F.try_validate_utf8(F.try_to_binary(text, F.lit("base64")).cast("string"))
 
 
 def parse_payload(payload_col="payload") -> Column:

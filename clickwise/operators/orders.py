@@ -381,6 +381,84 @@ def latest_order_status(status_events: DataFrame, order_col: str = "orderId") ->
     )
 
 
+# Steps an order may take; a step to the state it is in changes nothing. Any
+# other step is illegal: it is counted and the order stays where it is.
+ORDER_STEPS = {
+    None: ["PENDING"],
+    "PENDING": ["VALIDATED", "CANCELLED"],
+    "VALIDATED": ["PAYMENT_PROCESSING", "PAYMENT_CONFIRMED", "CANCELLED"],
+    "PAYMENT_PROCESSING": ["PAYMENT_CONFIRMED", "CANCELLED"],
+    "PAYMENT_CONFIRMED": ["SHIPPED", "CANCELLED", "REFUNDED"],
+    "SHIPPED": ["DELIVERED", "REFUNDED"],
+    "DELIVERED": ["REFUNDED"],
+    "CANCELLED": ["REFUNDED"],
+    "REFUNDED": [],
+}
+_CHUNK = 1024
+_STEP = "array<struct<s: int, bad: long, step: string>>"
+
+
+def _event_effect(acc: Column, event: Column) -> Column:
+    """``acc`` (from each start state: where the order is, illegal steps, the first of them) after one more event."""
+    states = [None, *O.ORDER_STATES]
+    legal = F.array(*[F.array(*[F.lit(e == s or e in ORDER_STEPS[s]) for e in O.ORDER_STATES]) for s in states])
+    names = F.array(*[F.lit(s or "(none)") for s in states])
+
+    def one(x):
+        ok = F.get(F.get(legal, x["s"]), event - 1)
+        step = F.concat(F.get(names, x["s"]), F.lit(" > "), F.get(names, event))
+        return F.struct(F.when(ok, event).otherwise(x["s"]).alias("s"),
+                        (x["bad"] + F.when(ok, 0).otherwise(1)).alias("bad"),
+                        F.coalesce(x["step"], F.when(~ok, step)).alias("step"))
+    return F.transform(acc, one).cast(_STEP)
+
+
+def _after(acc: Column, then: Column) -> Column:
+    """The effect of ``acc`` followed by that of ``then``."""
+    def one(x):
+        y = F.get(then, x["s"])
+        return F.struct(y["s"].alias("s"), (x["bad"] + y["bad"]).alias("bad"), F.coalesce(x["step"], y["step"]).alias("step"))
+    return F.transform(acc, one).cast(_STEP)
+
+
+def order_lifecycle(status_events: DataFrame, payments: DataFrame | None = None, order_col: str = "orderId") -> DataFrame:
+    """each order's state after its legal steps, with the illegal ones counted.
+
+    ``status_events(orderId, ts, status)`` and ``payments(orderId, paid_at,
+    amount)``: a payment is the step to PAYMENT_CONFIRMED at its time. Events
+    of one time go in the order of the states; unknown states are illegal
+    events of no state and are counted apart (``n_unknown``).
+
+    A sequence of events is a map from start state to (end state, illegal
+    steps), and such maps compose. Events are range-sorted, cut into runs of
+    at most 1,024 of one order, each run becomes a map, and runs of maps are
+    composed until one is left per order: no order's events meet in one task.
+    """
+    ensure_checkpoint_dir(status_events.sparkSession)
+    steps = status_events.select(F.col(order_col), "ts", "status", F.lit(None).cast("double").alias("amount"))
+    if payments is not None:
+        steps = steps.unionByName(payments.select(F.col(order_col), F.col("paid_at").alias("ts"), F.lit("PAYMENT_CONFIRMED").alias("status"),
+                                                  F.col("amount").cast("double").alias("amount")))
+    rank = F.array_position(F.array(*[F.lit(x) for x in O.ORDER_STATES]), F.col("status")).cast("int")
+    steps = steps.withColumn("_rank", F.coalesce(rank, F.lit(0))).withColumn("_salt", F.monotonically_increasing_id())
+    totals = steps.groupBy(order_col).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("_rank") == 0).alias("n_unknown"),
+                                          F.max("ts").alias("updated_at"), F.sum("amount").alias("paid"))
+    known = steps.where("_rank > 0").select(order_col, "ts", "_rank", "_salt")
+    at = known.orderBy(order_col, "ts", "_rank", "_salt").withColumn("_at", F.monotonically_increasing_id())
+    start = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).cast("long").alias("bad"), F.lit(None).cast("string").alias("step"))
+                      for i in range(len(O.ORDER_STATES) + 1)]).cast(_STEP)
+    runs = at.groupBy(order_col, F.floor(F.col("_at") / _CHUNK).alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_at", "_rank"))).alias("_e"))
+    runs = runs.select(order_col, "_run", F.aggregate("_e", start, lambda acc, e: _event_effect(acc, e["_rank"])).alias("_map")).checkpoint()
+    while not runs.groupBy(order_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        runs = runs.groupBy(order_col, F.floor(F.col("_run") / _CHUNK).alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_run", "_map"))).alias("_e"))
+        runs = runs.select(order_col, "_run", F.aggregate("_e", start, lambda acc, e: _after(acc, e["_map"])).alias("_map")).checkpoint()
+    end = F.get("_map", 0)
+    names = F.array(F.lit(None).cast("string"), *[F.lit(x) for x in O.ORDER_STATES])
+    done = runs.select(order_col, F.get(names, end["s"]).alias("status"), end["bad"].alias("n_illegal"), end["step"].alias("first_illegal"))
+    return totals.join(done, order_col, "left").select(
+        order_col, "status", F.coalesce("n_illegal", F.lit(0)).alias("n_illegal"), "first_illegal", "n_events", "n_unknown", "updated_at", "paid")
+
+
 def disposition(receive_count: Column, max_receive: int) -> Column:
     return F.when(receive_count > max_receive, "dead_letter").otherwise("delivered")
 

@@ -1,5 +1,10 @@
 """Checkout rules, idempotent insert and first-message-wins transitions."""
 
+import itertools
+import json
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from clickwise.functions import orders as O
@@ -8,41 +13,89 @@ from clickwise.operators import orders as OP
 ITEMS = "items array<struct<id string, quantity int, price_cents long>>"
 
 
-def _reasons(spark, orders):
+def line(qty=1, cents=700, name="cup"):
+    return (name, qty, cents)
+
+
+def judged(spark, orders):
     df = spark.createDataFrame([(i, o) for i, o in enumerate(orders)], f"id long, {ITEMS}")
-    return [r.reason for r in OP.validate_orders(df).orderBy("id").collect()]
+    return [(r.status, r.reason, r.total_cents) for r in OP.validate_orders(df).orderBy("id").collect()]
+
+
+def test_limits_are_inclusive(spark):
+    inside = [[line(cents=O.MIN_ORDER_CENTS)], [line(qty=O.MAX_QUANTITY_PER_ITEM)], [line(cents=O.MAX_ORDER_CENTS)], [line(cents=1)] * O.MAX_ITEMS_PER_ORDER]
+    assert [r[:2] for r in judged(spark, inside)] == [("VALIDATED", None)] * 4
+    outside = [[line(cents=O.MIN_ORDER_CENTS - 1)], [line(qty=O.MAX_QUANTITY_PER_ITEM + 1)], [line(cents=O.MAX_ORDER_CENTS + 1)], [line()] * (O.MAX_ITEMS_PER_ORDER + 1), []]
+    assert [r[1] for r in judged(spark, outside)] == [O.MSG_BELOW_MIN, "Invalid quantity for item cup", O.MSG_ABOVE_MAX, O.MSG_TOO_MANY, O.MSG_NO_ITEMS]
 
 
-def test_order_rules(spark):
-    orders = [
-        [("item-1", 2, 1000), ("item-2", 1, 2500)],
-        [],
-        [(f"item-{i}", 1, 100) for i in range(51)],
-        [("item-1", 0, 1000)],
-        [("item-1", 1, -500)],
-        [("item-1", 1, 1)],
-        [("item-1", 100, 10001)],
-    ]
-    assert _reasons(spark, orders) == [
-        None, O.MSG_NO_ITEMS, O.MSG_TOO_MANY, "Invalid quantity for item item-1",
-        "Invalid price for item item-1", O.MSG_BELOW_MIN, O.MSG_ABOVE_MAX,
-    ]
+def test_first_faulty_line_is_named(spark):
+    orders = [[line(name="pan"), line(qty=-3, name="pot"), line(cents=0, name="lid")], [line(cents=0, name="lid"), line(qty=0, name="pot")], [line(qty=None, name=None)]]
+    assert [r[1] for r in judged(spark, orders)] == ["Invalid quantity for item pot", "Invalid price for item lid", "Invalid quantity for item unknown"]
 
 
 def test_line_form_equals_array_form(spark):
-    lines = spark.createDataFrame(
-        [("a", 1, "i1", 2, 1000), ("a", 2, "i2", 1, 2500), ("b", 1, "i3", 0, 10), ("b", 2, "i4", 1, -1),
-         ("c", 1, "i5", 1, 10)], "orderId string, line_no int, item_id string, quantity int, price_cents long")
-    got = {r.orderId: (r.status, r.reason, r.total) for r in OP.validate_order_lines(lines).collect()}
-    assert got == {"a": ("VALIDATED", None, 45.0), "b": ("REJECTED", "Invalid quantity for item i3", -0.01),
-                   "c": ("REJECTED", O.MSG_BELOW_MIN, 0.1)}
-
-
-def test_create_orders(spark):
-    df = spark.createDataFrame([([("item-1", 2, 1500)],)], ITEMS)
-    r = OP.create_orders(df, as_of="2025-01-15 10:00:00").first()
-    assert r.order_id.startswith("ORD-20250115100000-") and len(r.order_hash) == 16
-    assert r.status == "VALIDATED" and r.total_cents == 3000
+    rnd = random.Random(8)
+    orders = [[line(rnd.choice([0, 1, 2, 100, 101]), rnd.choice([-4, 0, 9, 60_000]), f"it{k}") for k in range(rnd.randint(1, 5))] for _ in range(60)]
+    lines = spark.createDataFrame([(str(i), k, n, q, c) for i, o in enumerate(orders) for k, (n, q, c) in enumerate(o)],
+                                  "orderId string, line_no int, item_id string, quantity int, price_cents long")
+    got = {int(r.orderId): (r.status, r.reason, round(r.total * 100)) for r in OP.validate_order_lines(lines).collect()}
+    assert got == dict(enumerate(judged(spark, orders)))
+
+
+def test_created_orders(spark):
+    df = spark.createDataFrame([([line(2, 450)],), ([line(2, 450)],), ([line(1, 450)],)], ITEMS)
+    a, b, c = OP.create_orders(df, as_of="2033-11-12 13:14:15").collect()
+    assert a.order_id.startswith("ORD-20331112131415-") and a.order_id == b.order_id != c.order_id
+    assert len(a.order_hash) == 16 and a.order_hash != c.order_hash and (a.status, a.total_cents) == ("VALIDATED", 900)
+
+
+def test_odd_bodies(spark):
+    fails = ["[1]", "5", "null", '"text"', "{", None, '{"detail":"x","orderId":"1"}', '{"detail":null,"orderId":"1"}', '{"detail":[],"orderId":"1"}', '{"orderId":5}', '{"detail":{"orderId":[1]}}']
+    absent = ["{}", '{"orderId":""}', '{"orderId":null}', '{"orderId":0}', '{"orderId":false}', '{"detail":{}}', '{"detail":{"orderId":[]},"orderId":"1"}']
+    got = OP.read_order_messages(_msgs(spark, [*fails, *absent, '{"orderId":"1","createdAt":null}'])).orderBy("position").collect()
+    assert [r.parse_ok for r in got] == [False] * len(fails) + [True] * (len(absent) + 1)
+    assert [r.order_id for r in got[len(fails):]] == [""] * len(absent) + ["1"] and got[-1].created_at == ""
+    results = OP.reserve_inventory(_msgs(spark, [*fails, *absent]), _orders(spark))
+    done, failed = OP.split_failures(results)
+    assert {r.itemIdentifier for r in failed.collect()} == {f"m{i}" for i in range(len(fails))}
+    assert {r.status for r in done.collect()} == {"skipped"}
+
+
+def test_envelopes(spark):
+    shipped = OP.ship_orders(_msgs(spark, ['{"orderId":"1"}', '{"orderId":"2"}']), _orders(spark))
+    (r,) = OP.shipped_events(shipped).collect()
+    e = json.loads(r.envelope)
+    assert (e["source"], e["detail-type"]) == ("microservices.shipment", "OrderShipped")
+    assert json.loads(e["detail"]) == {"orderId": "1", "trackingId": r.trackingId, "customerId": "c1"}
+
+
+def test_routing_equals_every_pair(spark):
+    rules = [("a", "shop.web", None, ["x", "y", "x"]), ("b", None, "shop.", ["x"]), ("c", "shop.web", "shop.", ["y"]), ("d", "shop.web", "bank.", ["x"]),
+             ("e", None, "", ["z"]), ("b", None, "shop.", ["x"]), ("f", None, None, ["x"])]
+    events = [(i, s, t) for i, (s, t) in enumerate(itertools.product(["shop.web", "shop.app", "bank.one", "shop", ""], "xyz"))] * 2
+    want = sorted((i, r[0]) for i, s, t in events for r in rules
+                  if t in r[3] and ((r[1] is not None and s == r[1]) or (r[2] is not None and s.startswith(r[2]))))
+    df = spark.createDataFrame(events, "event_id int, source string, detail_type string")
+    rs = spark.createDataFrame(rules, "target string, source_exact string, source_prefix string, detail_types array<string>")
+    assert sorted((r.event_id, r.target) for r in OP.route_events(df, rs).collect()) == want
+
+
+def test_lifecycle_equals_a_walk(spark):
+    rnd = random.Random(6)
+    events = [(f"o{rnd.choice([0] * 20 + [*range(1, 30)])}", datetime(2033, 1, 1) + timedelta(minutes=rnd.randrange(4000)), rnd.choice([*O.ORDER_STATES, "ODD"])) for _ in range(5000)]
+    got = {r.orderId: r for r in OP.order_lifecycle(spark.createDataFrame(events, "orderId string, ts timestamp_ntz, status string").repartition(6)).collect()}
+    for oid in {e[0] for e in events}:
+        state, bad, first, mine = None, 0, None, [e for e in events if e[0] == oid]
+        for e in sorted((e for e in mine if e[2] != "ODD"), key=lambda e: (e[1], O.ORDER_STATES.index(e[2]))):
+            if e[2] == state or e[2] in OP.ORDER_STEPS[state]:
+                state = e[2]
+            else:
+                bad, first = bad + 1, first or f"{state or '(none)'} > {e[2]}"
+        r = got[oid]
+        assert (r.status, r.n_illegal, r.first_illegal, r.n_events) == (state, bad, first, len(mine))
+        assert r.n_unknown == sum(e[2] == "ODD" for e in mine)
+    assert max(r.n_events for r in got.values()) > OP._CHUNK  # a hot order takes several runs
 
 
 def _orders(spark):
