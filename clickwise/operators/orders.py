@@ -381,6 +381,16 @@ def latest_order_status(status_events: DataFrame, order_col: str = "orderId") ->
     )
 
 
+def write_customer_index(orders: DataFrame, table: str, buckets: int = 64) -> None:
+    """C5's index: all order columns, bucketed by customer and sorted by customer and time.
+
+    ``customer_orders`` on the table reads one bucket for a customer, and in
+    it only the row groups whose range of times fits.
+    """
+    (orders.repartition(buckets, "customerId").write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, "customerId").sortBy("customerId", "createdAt").saveAsTable(table))
+
+
 # Steps an order may take; a step to the state it is in changes nothing. Any
 # other step is illegal: it is counted and the order stays where it is.
 ORDER_STEPS = {

@@ -10,6 +10,7 @@ from clickwise.functions import redaction as R
 from clickwise.operators import events as EV
 from clickwise.plans.adapters import RAW_PAYLOADS_SQL, raw_payloads
 from clickwise.plans.sqltext import with_views
+from clickwise.sources.schema_catalog import column_type, merge_summaries, schema_summary, update_catalog
 from clickwise.sources.tables import table
 
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -72,8 +73,37 @@ def pii_redaction(spark, sf_dir):
     )
 
 
+_BORDER = "2024-01-16 00:00:00"
+
+
+def zone_texts(spark, sf_dir):
+    """JSON lines of a zone whose schema changes at ``_BORDER``: amounts get decimals, ``legacy`` goes,
+    ``client.country`` and ``tags`` come, and ``note`` is text where it was a number."""
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    late = F.col("ts") >= F.lit(_BORDER).cast("timestamp_ntz")
+    whole = F.floor("value").cast("string")
+    text = F.concat(
+        F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.col("props"),
+        F.lit(',"amount":'), F.when(late, F.concat(whole, F.lit(".25"))).otherwise(whole),
+        F.lit(',"client":{"platform":"'), F.col("event_type"), F.lit('"'), F.when(late, F.lit(',"country":null')).otherwise(F.lit("")), F.lit("}"),
+        F.when(late, F.lit(',"tags":["a",1]')).otherwise(F.lit(',"legacy":true')),
+        F.when(late, F.lit(',"note":"x"}')).otherwise(F.lit(',"note":7}')))
+    return ev.select(late.alias("late"), text.alias("value"))
+
+
+def schema_drift(spark, sf_dir):
+    """A5: two crawls; the second also merges what the first had seen of the still present half."""
+    z = zone_texts(spark, sf_dir)
+    first, second = (schema_summary(z.where(c)) for c in ("not late", "late"))
+    catalog, _ = update_catalog(None, first, 1)
+    catalog, changes = update_catalog(catalog, second, 2)
+    merged = merge_summaries(first, second).select("path", column_type(F.col("kinds")).alias("merged_type"), F.col("n").alias("seen"))
+    return changes.join(catalog.select("path", "status", "first_crawl", "last_crawl"), "path").join(merged, "path")
+
+
 def queries():
     return {
+        "schema_drift": schema_drift,
         "event_validation": event_validation,
         "enriched_events": enriched_events,
         "dead_letters": dead_letters,
@@ -180,6 +210,31 @@ def oracle_sql():
     hour = f"regexp_extract({iso}, '{_ISO_PARTS}', 4)"
     parts = [f"regexp_extract({iso}, '{_ISO_PARTS}', {i})" for i in (1, 2, 3)]
     return {
+        "schema_drift": f"""
+WITH z AS (
+  SELECT ts >= TIMESTAMP '{_BORDER}' AS late, CAST('{{"event_id":' || event_id || ',"props":' || props || ',"amount":' || CAST(floor(value) AS BIGINT)
+    || CASE WHEN ts >= TIMESTAMP '{_BORDER}' THEN '.25,"client":{{"platform":"' || event_type || '","country":null}},"tags":["a",1],"note":"x"}}'
+            ELSE ',"client":{{"platform":"' || event_type || '"}},"legacy":true,"note":7}}' END AS JSON) AS j FROM events),
+leaf AS (
+  SELECT late, k AS path, json_type(j, '$.' || k) AS t FROM (SELECT late, j, unnest(json_keys(j)) AS k FROM z)
+  UNION ALL SELECT late, 'client.' || k, json_type(j, '$.client.' || k) FROM (SELECT late, j, unnest(json_keys(j, '$.client')) AS k FROM z)
+  UNION ALL SELECT late, 'props.' || k, json_type(j, '$.props.' || k) FROM (SELECT late, j, unnest(json_keys(j, '$.props')) AS k FROM z)
+  UNION ALL SELECT late, 'tags[]', json_type(e) FROM (SELECT late, unnest(json_extract(j, '$.tags[*]')) AS e FROM z WHERE late)),
+named AS (
+  SELECT late, path, CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN 'BIGINT' WHEN t = 'VARCHAR' THEN 'STRING' WHEN t = 'NULL' THEN 'VOID' ELSE t END AS t FROM leaf),
+kinds AS (
+  SELECT path, count(*) AS seen,
+         list_sort(list(DISTINCT t) FILTER (WHERE t <> 'VOID')) AS a,
+         list_sort(list(DISTINCT t) FILTER (WHERE t <> 'VOID' AND NOT late)) AS o, list_sort(list(DISTINCT t) FILTER (WHERE t <> 'VOID' AND late)) AS l,
+         bool_or(NOT late) AS early, bool_or(late) AS late
+  FROM named GROUP BY path),
+typed AS (
+  SELECT path, seen, early, late, {", ".join(
+      f"CASE WHEN {c} IS NULL OR len({c}) = 0 THEN 'VOID' WHEN len({c}) = 1 THEN {c}[1] WHEN {c} = ['BIGINT', 'DOUBLE'] THEN 'DOUBLE' ELSE 'VARIANT' END AS {c}" for c in "aol")} FROM kinds)
+SELECT path, CASE WHEN NOT early THEN 'added' WHEN NOT late THEN 'deprecated' WHEN o <> l THEN 'updated' ELSE 'unchanged' END AS change,
+       CASE WHEN early THEN o END AS old_type, CASE WHEN late THEN l END AS new_type, CASE WHEN late THEN 'active' ELSE 'deprecated' END AS status,
+       CASE WHEN early THEN 1 ELSE 2 END AS first_crawl, CASE WHEN late THEN 2 ELSE 1 END AS last_crawl, a AS merged_type, seen
+FROM typed""",
         "event_validation": w + """
 SELECT record_id, CASE WHEN failure_reason IS NULL THEN 'processed' ELSE 'failed' END AS outcome, failure_reason
 FROM classified""",

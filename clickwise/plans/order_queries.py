@@ -186,6 +186,7 @@ def routing_rules(spark):
 
 
 AS_OF = "2024-01-31 00:00:00"
+CUSTOMER = "37"
 
 
 def checkout_placement(s, d):
@@ -223,6 +224,8 @@ def queries():
         .select("event_id", "target"),
         "customer_order_history": lambda s, d: OP.customer_orders(orders_snapshot(s, d), "1995-01-01", "1995-12-31")
         .select("orderId", "customerId", "createdAt"),
+        "one_customer_history": lambda s, d: OP.customer_orders(orders_snapshot(s, d), "1994-01-01", "1997-12-31", CUSTOMER)
+        .select("orderId", "customerId", "createdAt"),
         "latest_order_status": lambda s, d: OP.latest_order_status(status_events(s, d)),
         "message_redrive": lambda s, d: OP.redrive(deliveries(s, d)),
     }
@@ -473,6 +476,8 @@ SELECT ev.event_id, rules.target FROM ev JOIN rules
      AND list_contains(rules.detail_types, ev.detail_type)""",
         "customer_order_history": with_views(SNAPSHOT_SQL) + """
 SELECT orderId, customerId, createdAt FROM snap WHERE createdAt BETWEEN '1995-01-01' AND '1995-12-31'""",
+        "one_customer_history": with_views(SNAPSHOT_SQL) + f"""
+SELECT orderId, customerId, createdAt FROM snap WHERE customerId = '{CUSTOMER}' AND createdAt BETWEEN '1994-01-01' AND '1997-12-31'""",
         "latest_order_status": f"""
 WITH ev AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS orderId, o_orderdate AS ts, s.status FROM orders, (VALUES ('PENDING'), ('VALIDATED')) s(status)

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from clickwise.sources.schema_catalog import schema_summary, update_catalog, zone_lines
+from clickwise.sources.zone_writer import TARGET_BYTES, start_zone_stream, write_balanced
+
 TRANSPORT_SCHEMA = "kinesis struct<data string, partitionKey string, sequenceNumber string>"
 PARTITION_COLS = ["year", "month", "day", "hour"]
 
@@ -35,20 +38,19 @@ def with_partitions(df: DataFrame, ts: F.Column, hour: bool = True) -> DataFrame
 
 
 def write_raw(df: DataFrame, path: str, partition_by: str = "arrival", event_ts_col: str = "ts",
-              checkpoint: str | None = None, trigger: dict | None = None):
-    """A2: raw zone, gzip JSON lines partitioned year/month/day/hour.
+              checkpoint: str | None = None, trigger: dict | None = None, target_bytes: int = TARGET_BYTES):
+    """A2: raw zone, gzip JSON lines partitioned year/month/day/hour, in files of about ``target_bytes``.
 
     ``partition_by="arrival"`` uses the write time (the delivery stream's
     namespace), ``"event"`` the event's own timestamp (X4). A streaming frame
-    returns a started query with a 60 s trigger by default (G1).
+    returns a started query with a 60 s trigger by default (G1); it goes by
+    the event's time, so that a replay finds its folders again.
     """
-    ts = F.current_timestamp() if partition_by == "arrival" else F.col(event_ts_col)
-    out = with_partitions(df, ts)
     if df.isStreaming:
-        w = (out.writeStream.format("json").option("compression", "gzip").partitionBy(*PARTITION_COLS)
-             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})))
-        return w.start(path)
-    out.write.mode("append").option("compression", "gzip").partitionBy(*PARTITION_COLS).json(path)
+        return start_zone_stream(with_partitions(df, F.col(event_ts_col)), path, PARTITION_COLS, checkpoint, "json",
+                                 target_bytes, trigger, compression="gzip")
+    ts = F.current_timestamp() if partition_by == "arrival" else F.col(event_ts_col)
+    write_balanced(with_partitions(df, ts), path, PARTITION_COLS, "json", target_bytes, compression="gzip")
     return None
 
 
@@ -70,23 +72,9 @@ def read_raw(spark: SparkSession, path: str, schema: str | StructType | None = N
     return spark.read.schema(schema or raw_schema()).json(path)
 
 
-def discover_schema(spark: SparkSession, path: str, known: StructType | None = None,
-                    sampling_ratio: float = 1.0) -> tuple[StructType, DataFrame]:
-    """A5: infer the zone's schema and report drift against ``known``.
-
-    Drift rows: (column, old_type, new_type, change) with change in
-    added / removed (deprecated) / changed / unchanged. Folders starting
-    with ``_`` or ``.`` (e.g. ``_temporary``) are skipped by Spark itself.
-    """
-    inferred = spark.read.option("samplingRatio", sampling_ratio).json(path).schema
-    new = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in inferred.fields],
-                                "column string, new_type string")
-    old_rows = [(f.name, f.dataType.simpleString()) for f in known.fields] if known else []
-    old = spark.createDataFrame(old_rows, "column string, old_type string")
-    drift = old.join(new, "column", "full_outer").withColumn(
-        "change", F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed")
-        .when(F.col("old_type") != F.col("new_type"), "changed").otherwise("unchanged"))
-    return inferred, drift
+def discover_schema(spark: SparkSession, path: str, catalog: DataFrame | None = None, crawl: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A5: (catalog, changes) of a zone crawled whole; ``errors`` and ``_temporary`` folders are left out."""
+    return update_catalog(catalog, schema_summary(zone_lines(spark, path)), crawl)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -100,18 +88,14 @@ def write_dlq(df: DataFrame, path: str) -> None:
     with_partitions(df, ts).write.mode("append").partitionBy(*PARTITION_COLS).json(path)
 
 
-def write_processed(df: DataFrame, path: str) -> None:
-    """Processed zone, parquet partitioned by the event's own date (``s3_partition``)."""
-    parts = F.regexp_extract(F.col("s3_partition"), r"year=(\d+)/month=(\d+)/day=(\d+)", 0)
-    out = df.withColumns({"year": F.regexp_extract(parts, r"year=(\d+)", 1),
-                          "month": F.regexp_extract(parts, r"month=(\d+)", 1),
-                          "day": F.regexp_extract(parts, r"day=(\d+)", 1)})
-    out.write.mode("append").partitionBy("year", "month", "day").parquet(path)
-
-
-def write_classified(df: DataFrame, path: str) -> None:
-    """B17 in one job: processed and dead-letter rows land in ``outcome=`` partitions."""
-    df.write.mode("append").partitionBy("outcome").parquet(path)
+def write_processed(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES, checkpoint: str | None = None, trigger: dict | None = None):
+    """Processed zone, parquet partitioned by the event's own date (``s3_partition``), batch or stream."""
+    parts = {c: F.regexp_extract("s3_partition", rf"{c}=(\d+)", 1) for c in ("year", "month", "day")}
+    out = df.withColumns(parts)
+    if df.isStreaming:
+        return start_zone_stream(out, path, [*parts], checkpoint, "parquet", target_bytes, trigger)
+    write_balanced(out, path, [*parts], "parquet", target_bytes)
+    return None
 
 
 def distribute_by_user(df: DataFrame, n: int, key: str = "user_id") -> DataFrame:

@@ -32,6 +32,17 @@ def dedupe_events(df: DataFrame, key: str = "event_hash", ts_col: str = "event_t
     return df.dropDuplicates([key])
 
 
+def start_dedupe_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "event_hash", ts_col: str = "event_ts",
+                        watermark: str = "10 minutes", test: bool = False):
+    """G2 as a query: first rows per fingerprint as Parquet, exactly once, through restarts.
+
+    The state holds a fingerprint until the watermark passes it; a row later
+    than the watermark is dropped by the engine as too late.
+    """
+    return (dedupe_events(stream, key, ts_col, watermark).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(**trigger(test)).start(path))
+
+
 def windowed_metrics(df: DataFrame, ts_col: str = "ts", period: str = "60 seconds",
                      watermark: str = "2 minutes", by: tuple[str, ...] = ("region", "status")) -> DataFrame:
     """D9 on a stream - tumbling windows, emitted once the watermark passes."""

@@ -69,16 +69,6 @@ def test_raw_zone_string_partitions_and_pruning(spark, tmp_dir, capsys):
     assert "PartitionFilters: [isnotnull(year" in plan and "(month#" in plan
 
 
-def test_schema_drift(spark, tmp_dir):
-    path = os.path.join(tmp_dir, "drift")
-    spark.createDataFrame([(1, "a")], "a long, b string").write.json(path)
-    from pyspark.sql.types import LongType, StructField, StructType, DoubleType
-    known = StructType([StructField("a", DoubleType()), StructField("c", LongType())])
-    _, drift = IO.discover_schema(spark, path, known)
-    got = {r.column: r.change for r in drift.collect()}
-    assert got == {"a": "changed", "b": "added", "c": "removed"}
-
-
 def test_dedupe_batch(spark):
     df = spark.createDataFrame([("h1",), ("h1",), ("h2",)], "event_hash string")
     assert RN.dedupe_events(df).count() == 2
