@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickwise.llm.common import bounded_batches, unused
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = "struct<n_words:long,spans:array<long>,items:array<string>>"
 
@@ -170,22 +172,23 @@ def _scanner(shared, key, window):
     return F.pandas_udf(scan, HITS)
 
 
-def match_spans(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
+def match_spans(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 200_000, hits: str = "hits") -> DataFrame:
     """Add ``hits``: struct(n_words, spans, items) to each row; spans are start, end, start, end, ...
 
     Spans are maximal hit word ranges. Null text has no words; an empty
     benchmark hits nothing; items without words match nothing; a null item_id
     is named ``null``. An item longer than a block makes a block of its own.
     """
-    out = docs.withColumn("hits", F.lit(None).cast(HITS))
+    bounded_batches(docs.sparkSession)
+    out = docs.withColumn(hits, F.lit(None).cast(HITS))
     for rows in [*_blocks(items, block_words)] or [[]]:
         scan = _scanner(docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex, window)
-        out = out.withColumn("hits", scan("text", "hits.spans", "hits.items"))
+        out = out.withColumn(hits, scan("text", f"{hits}.spans", f"{hits}.items"))
     return out
 
 
-def _n_hit():
-    return F.aggregate("hits.spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")),
+def _n_hit(hits: str = "hits"):
+    return F.aggregate(f"{hits}.spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")),
                        lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
 
 
@@ -215,8 +218,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     Untouched rows stay as they are (null texts too). ``n_chars``, where
     present, follows the new text.
     """
-    kept = (match_spans(docs, items, window, block_words)
-            .where(_n_hit() <= F.col("hits.n_words") * F.lit(max_coverage)))
+    hits = unused(docs, "hits")
+    kept = (match_spans(docs, items, window, block_words, hits)
+            .where(_n_hit(hits) <= F.col(f"{hits}.n_words") * F.lit(max_coverage)))
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -232,8 +236,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
             out.append("".join([*parts, text[done:]]))
         return pd.Series(out, dtype=object)
     cut.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
-    new = kept.withColumn("text", F.when(F.size("hits.spans") > 0, F.pandas_udf(cut, "string")("text", "hits.spans"))
+    new = kept.withColumn("text", F.when(F.size(f"{hits}.spans") > 0, F.pandas_udf(cut, "string")("text", f"{hits}.spans"))
                           .otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.size("hits.spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.size(f"{hits}.spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])

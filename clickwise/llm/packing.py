@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwise.llm.common import stored
+from clickwise.llm.common import bounded_batches, stored
 
 TOKENIZER = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
+_SLICE = 500_000  # ids handed back at once
 
 
 def _tokenizer(path):
@@ -40,22 +41,30 @@ def default_tokenizer() -> str:
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eos: int = 0, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``; null text counts as empty (one ``eos``)."""
+    bounded_batches(docs.sparkSession)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    # Ids as text on the way: a null among longs would make them floats.
+    keyed = docs.select(F.col("doc_id").cast("string"), "text")
+
     def run(batches):
         tok = _tokenizer(tokenizer or default_tokenizer())
+        rows: list = []
+        held = 0
         for b in batches:
-            rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 ids = np.array([*tok.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, eos], "<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
-                    row = (None if pd.isna(doc) else int(doc), k, at, len(part), zlib.crc32(part.tobytes()))
+                    row = (doc, k, at, len(part), zlib.crc32(part.tobytes()))
                     rows.append((*row, part.astype(np.int32)) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, kind)
+                    held += len(part) if with_ids else 8
+                    if held >= _SLICE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+    kind = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return keyed.mapInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan_runs(histogram: dict[int, int], capacity: int):
@@ -125,4 +134,17 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    return pack(stored(pieces(docs, capacity, tokenizer, with_ids=with_ids), "pieces"), capacity)
+    """One row per piece of every row of ``docs(doc_id, text)``, with its sequence and offset.
+
+    Null and empty texts are one ``eos`` each; rows that share a doc_id, equal
+    or not, are documents of their own; a null doc_id stays null. Pieces of
+    one length go in the order of doc_id, piece and checksum. An empty table
+    gives no rows. Other columns are not read.
+    """
+    parts = pieces(docs, capacity, tokenizer, with_ids=with_ids)
+    if not with_ids:
+        return pack(stored(parts, "pieces"), capacity)
+    # Places are found on narrow rows; the ids are joined to them once, by a stored row number.
+    parts = stored(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = pack(parts.drop("ids"), capacity)
+    return placed.join(parts.select("row", "ids"), "row").select(*[c for c in parts.columns if c != "row"], "sequence_id", "offset")

@@ -14,9 +14,12 @@ from collections import defaultdict
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickwise.llm.common import bounded_batches, unused
+
 # Kinds in output order, and identifier cues.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_login", "ssn", "iban")
@@ -190,16 +193,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have counts of 0; doc_id may be null or repeat.
     """
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                f = find(t)
-                rows.append((*(len(f.get(k, ())) for k in BASE), hashlib.sha256(digest(f, BASE).encode()).hexdigest(), digest(f, KINDS)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
-    return docs.select("doc_id", "text").mapInPandas(
+            found = [find(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), *(pa.array([len(f.get(k, ())) for f in found], pa.int64()) for k in BASE),
+                pa.array([hashlib.sha256(digest(f, BASE).encode()).hexdigest() for f in found], pa.string()),
+                pa.array([digest(f, KINDS) for f in found], pa.string())],
+                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -208,7 +212,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(texts):
         return texts.map(redacted, na_action="ignore")
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    new = docs.withColumn("text_", F.pandas_udf(run, "string")("text"))
+    bounded_batches(docs.sparkSession)
+    to = unused(docs, "redacted")
+    new = docs.withColumn(to, F.pandas_udf(run, "string")("text"))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("text_") != F.col("text"), F.length("text_").cast("long")).otherwise(F.col("n_chars")))
-    return new.withColumn("text", F.col("text_")).select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(to) != F.col("text"), F.length(to).cast("long")).otherwise(F.col("n_chars")))
+    return new.withColumn("text", F.col(to)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,7 @@ from itertools import product
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,14 +178,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                f = find(t)
-                rows.append((*(len(f.get(k, ())) for k in BASE), hashlib.sha256(digest(f, BASE).encode()).hexdigest(), digest(f, KINDS)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
-    return docs.select("doc_id", "text").mapInPandas(
+            found = [find(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), *(pa.array([len(f.get(k, ())) for f in found], pa.int64()) for k in BASE),
+                pa.array([hashlib.sha256(digest(f, BASE).encode()).hexdigest() for f in found], pa.string()),
+                pa.array([digest(f, KINDS) for f in found], pa.string())],
+                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 

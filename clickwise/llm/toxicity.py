@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickwise.llm.common import bounded_batches, unused
 from clickwise.llm.decontaminate import words
 
 # Identity terms, by kind; swaps go to the next of a kind.
@@ -174,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, min_docs: in
 
 def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
     """Add the score (0 to 1) of the whole text to every row; null counts as empty."""
+    bounded_batches(docs.sparkSession)
     bias, weights = model["bias"], model["weights"]
 
     def run(texts):
@@ -198,4 +200,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return scored(docs, train(docs, labels), "score_").where("score_ < 0.5").select(*docs.columns)
+    """The rows of ``docs`` scored under 0.5, with its columns; null texts score as empty ones, repeated rows alike."""
+    score = unused(docs, "score")
+    return scored(docs, train(docs, labels), score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -230,3 +230,45 @@ def test_pipeline_returns_the_token_ids(spark):
     got = corpus_pipeline.pack_sequences(spark, rows(spark, ["some words here", None]), "").collect()
     assert {r.doc_id for r in got} == {0, 1} and all(len(r.ids) == r.length for r in got)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_unique_texts_under_one_id_stay(spark):
+    """Of a group one row stays; a unique text is not lost to a copy that shares its id."""
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    a, b, c = (" ".join(random.Random(k).choices(word, k=60)) for k in (1, 2, 3))
+    docs = spark.createDataFrame([(3, a, "p"), (5, a, "q"), (5, b, "r"), (None, c, "s"), (None, c, "s"), (None, a, "t"), (5, b, "r")], "doc_id long, text string, tag string")
+    kept = sorted((r.doc_id or 0, r.text, r.tag) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(3, a, "p"), (5, b, "r"), (0, c, "s")])
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_that_clash(spark):
+    names = ["doc_id", "text", "hits", "redacted", "score", "score_", "tag", "kept_id", "row"]
+    docs = spark.createDataFrame([(1, "mail a@b.co or the passage of ten words that must surely go now away", *"abcdefg"), (2, None, *"hijklmn")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    bench = spark.createDataFrame([(0, "passage of ten words that must surely go now away")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for out in (decontaminate.decontaminate(docs, bench, max_coverage=1.0), pii.redact(docs), simhash.drop_near_duplicates(docs), toxicity.drop_toxic(docs, labels)):
+        assert out.columns == names
+        for r in out.collect():
+            assert [r[n] for n in names[2:]] == list("abcdefg" if r.doc_id == 1 else "hijklmn")
+
+
+def test_large_ids_survive_nulls(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "x y z"), (None, "y"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    for out in (pii.personal_data(docs), packing.pack_documents(docs, 64, with_ids=True), simhash.simhash_groups(docs)):
+        assert {r.doc_id for r in out.collect()} == {big, big + 2, None}
+
+
+def test_token_ids_equal_the_tokenizer(spark, texts):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for r in packing.pack_documents(rows(spark, texts), 64, with_ids=True).collect():
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        got.setdefault(r.doc_id, {})[r.piece] = (r.start, r.ids)
+    for d, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        assert [x for k in sorted(got[d]) for x in got[d][k][1]] == ids
+        assert [got[d][k][0] for k in sorted(got[d])] == list(range(0, len(ids), 64))
