@@ -5,30 +5,35 @@ least hashed ``GRAM``-byte piece), so texts are cut into segments: runs of
 windows with one minimizer. Minimizers met once can hold no repeat. Equal
 segments are one, represented by their first occurrence; where a minimizer
 has different segments, a Burrows-Wheeler transform over them is searched
-breadth-first by backward extension, one byte a level, stopping at the
-minimum length. Intervals left at that level are groups of equal passages;
-all but the earliest window of each are repeats.
+breadth-first by backward extension: intervals of one common prefix length
+set the boundaries that are met for the first time, and only those are
+extended to the next length, up to the minimum length. Between boundaries
+then lie the groups of equal passages; all but the earliest are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwise.llm.common import stored
+from clickwise.llm.common import bounded_batches, stored
 
 GRAM = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POLY = 0xD1342543DE82EF95
+_LOW = (1 << 24) - 1
+_CHUNK = 1 << 20  # bytes of text hashed at once
 
 
-def _gram_hashes(data: bytes) -> np.ndarray:
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``GRAM``-byte piece, by doubling."""
-    h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    h = data.astype(np.uint64) + np.uint64(1)
     width = 1
     with np.errstate(over="ignore"):
         while width < GRAM:
@@ -40,33 +45,93 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def segments(data: bytes, length: int):
-    """Arrays (minimizer, first window, windows) of the runs of windows with one minimizer."""
-    if len(data) < length:
-        return (np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64))
-    h = _gram_hashes(data)
-    span, n = length - GRAM + 1, len(data) - length + 1
-    least, at, width = h, np.arange(len(h)), 1
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out)
+
 
-    def lower(shift, size):
-        # The least hash of two neighbouring stretches; of equal ones the right.
-        right = least[shift:shift + size] <= least[:size]
-        return np.where(right, least[shift:shift + size], least[:size]), np.where(right, at[shift:shift + size], at[:size])
+def _least(key: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least ``key`` in each stretch of ``span``; of equal ones the last. Low bits of keys are 0."""
+    n = len(key) - span + 1
+    width = 1
+    if len(key) <= _LOW:
+        # The place goes into the low bits, so that one minimum finds both.
+        v = key | (np.uint64(_LOW) - np.arange(len(key), dtype=np.uint64))
+        while width * 2 <= span:
+            v = np.minimum(v[:-width], v[width:])
+            width *= 2
+        v = np.minimum(v[:n], v[span - width:span - width + n])
+        return (np.uint64(_LOW) - (v & np.uint64(_LOW))).astype(np.int64)
+    at = np.arange(len(key))
+
+    def later(a, b):
+        return np.where(key[b] <= key[a], b, a)
     while width * 2 <= span:
-        least, at = lower(width, len(least) - width)
+        at = later(at[:-width], at[width:])
         width *= 2
-    least, at = lower(span - width, n)
-    # One place of the minimizer per segment: no window can repeat inside it.
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return least[first], first, np.diff(np.r_[first, n])
+    return later(at[:n], at[span - width:span - width + n])
+
+
+def segments(texts: list[bytes], length: int):
+    """Arrays (text, minimizer, content hash, first window, windows) of the runs of windows with one minimizer."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(sizes) or sizes.max() < length:
+        none = np.array([], np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
+    h = _gram_hashes(data)
+    span, n = length - GRAM + 1, len(data) - length + 1
+    at = _least(h & ~np.uint64(_LOW), span)
+    # Windows inside one text; between texts a run ends by itself.
+    begin = np.cumsum(sizes) - sizes
+    fits = sizes >= length
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, begin[fits], 1)
+    np.add.at(edge, begin[fits] + sizes[fits] - length + 1, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    new = inside & np.r_[True, (at[1:] != at[:-1]) | ~inside[:-1]]
+    new[begin[fits]] = True
+    first = np.flatnonzero(new)
+    text = np.searchsorted(begin + sizes, first, "right")
+    last_window = begin[text] + sizes[text] - length + 1
+    count = np.minimum(np.r_[first[1:], n], last_window) - first
+    # The hash of a segment from prefix sums over its pieces' hashes, moved to its start.
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(h * _powers(_POLY, len(h)))]
+        content = (sums[first + count + length - GRAM] - sums[first]) * _powers(pow(_POLY, -1, 1 << 64), len(h))[first]
+        content ^= content >> np.uint64(32)
+        content = (content + count.astype(np.uint64)) * _BASE
+        content ^= content >> np.uint64(29)
+    return text, h[at[first]], content, first - begin[text], count
+
+
+def _suffixes(s: np.ndarray) -> np.ndarray:
+    """The suffix array of ``s``, whose end marks are all different, by prefix doubling."""
+    total = len(s)
+    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while True:
+        after = np.zeros(total, np.int64)
+        after[:-step] = rank[step:] + 1
+        key = rank * (total + 1) + after
+        sa = np.argsort(key, kind="stable")
+        ordered = key[sa]
+        rank = np.empty(total, np.int64)
+        rank[sa] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
+        if rank[sa[-1]] == total - 1:
+            return sa
+        step *= 2
 
 
 def _repeats(texts: list[bytes], length: int):
-    """Groups of equal ``length``-byte windows of ``texts``: arrays of (text, offset) positions.
+    """Groups of equal ``length``-byte windows of ``texts``: arrays (group, text, offset), sorted by group.
 
-    Suffix ranks of the joined texts give the BWT; intervals of the empty
-    string are extended backwards a byte at a time, keeping those of two or
-    more suffixes, until the level ``length``.
+    Of the intervals of one common prefix length, those whose right end is
+    not yet a boundary make it one and go on; an interval of one suffix has
+    one extension, its BWT letter. Each boundary is set once, so the work
+    grows with the text, not with text times length.
     """
     # Each text ends in its own mark (a number under all bytes), so no match crosses texts.
     k = len(texts)
@@ -78,36 +143,46 @@ def _repeats(texts: list[bytes], length: int):
     body[ends] = False
     s[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + k
     s[ends] = np.arange(k)
-    rank = np.unique(s, return_inverse=True)[1]
-    sa, step = np.argsort(rank, kind="stable"), 1
-    while rank.max() < total - 1:
-        after = np.full(total, -1)
-        after[:-step] = rank[step:]
-        sa = np.lexsort((after, rank))
-        new = np.r_[0, np.cumsum((np.diff(rank[sa]) != 0) | (np.diff(after[sa]) != 0))]
-        rank = np.empty(total, np.int64)
-        rank[sa] = new
-        step *= 2
+    sa = _suffixes(s)
     bwt = s[sa - 1]
+    # The place of the suffix one letter longer, for each suffix: letters in order, each keeping its own.
+    longer = np.empty(total, np.int64)
+    longer[np.argsort(bwt, kind="stable")] = np.arange(total)
     letters = np.unique(s[body])
-    first = {c: int((s < c).sum()) for c in letters}
-    seen = {c: np.r_[0, np.cumsum(bwt == c)].astype(np.int32) for c in letters}
+    first = np.searchsorted(np.sort(s), letters)
+    seen = np.zeros((len(letters), total + 1), np.int32)
+    for i, c in enumerate(letters):
+        np.cumsum(bwt == c, out=seen[i, 1:])
+    boundary = np.zeros(total + 1, bool)
+    boundary[0] = boundary[total] = True
     lo, hi = np.array([0]), np.array([total])
-    for _ in range(length):
-        los, his = [], []
-        for c in letters:
-            a, b = first[c] + seen[c][lo], first[c] + seen[c][hi]
-            keep = b - a > 1
-            los.append(a[keep])
-            his.append(b[keep])
-        lo, hi = np.concatenate(los), np.concatenate(his)
+    for level in range(length):
+        one = hi - lo == 1
+        p = lo[one]
+        a, b = [longer[p]], [longer[p] + 1]
+        lo, hi = lo[~one], hi[~one]
+        if len(lo):
+            x, y = first[:, None] + seen[:, lo], first[:, None] + seen[:, hi]
+            some = y > x
+            a.append(x[some])
+            b.append(y[some])
+        if not level:
+            # Every mark is an interval of one, met once.
+            marks = longer[bwt < k]
+            a.append(marks)
+            b.append(marks + 1)
+        a, b = np.concatenate(a), np.concatenate(b)
+        fresh = ~boundary[b]
+        a, b = a[fresh], b[fresh]
+        boundary[b] = True
+        lo, hi = a, b
         if not len(lo):
-            return
+            break
+    group = np.cumsum(boundary[:-1]) - 1
     text_of = np.repeat(np.arange(k), sizes + 1)
-    begin = ends - sizes
-    for a, b in zip(lo, hi):
-        at = sa[a:b]
-        yield text_of[at], at - begin[text_of[at]]
+    text, offset = text_of[sa], sa - (ends - sizes)[text_of[sa]]
+    held = (offset + length <= sizes[text]) & (np.bincount(group)[group] > 1)
+    return group[held], text[held], offset[held]
 
 
 def _merge(ranges):
@@ -124,40 +199,73 @@ def _merge(ranges):
 _PLACE = "doc long, tag long"
 
 
+def _chunks(batches):
+    """Rows of ``(doc, tag, packed text, ...)`` batches, a bounded number of bytes at a time."""
+    rows, held = [], 0
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            rows.append(r)
+            held += len(r[2] or b"")
+            if held >= _CHUNK:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def _frame(names, *columns):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
+    """``(doc, tag, m, seg, start, n)`` of every segment of ``docs(doc, tag, data)``."""
     def run(batches):
-        for b in batches:
-            for doc, tag, text in zip(b["doc"], b["tag"], b["text"]):
-                data = (text or "").encode()
-                m, first, n = segments(data, length)
-                seg = np.array([xxhash.xxh64_intdigest(data[a:a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist())], np.uint64)
-                yield pd.DataFrame({"doc": doc, "tag": tag, "m": m.view(np.int64), "seg": seg.view(np.int64), "start": first, "n": n})
-    return docs.mapInPandas(run, f"{_PLACE}, m long, seg long, start long, n long")
+        for rows in _chunks(batches):
+            text, m, seg, start, n = segments([r[2] or b"" for r in rows], length)
+            doc, tag = (np.array([r[k] for r in rows], np.int64)[text] for k in (0, 1))
+            yield _frame(["doc", "tag", "m", "seg", "start", "n"], doc, tag, m.view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32))
+    return docs.mapInArrow(run, f"{_PLACE}, m long, seg long, start int, n int")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of ``wanted`` segments; a document's list is bounded by its own length."""
     lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("l"))
 
+    def run(batches):
+        for rows in _chunks(batches):
+            out = []
+            for doc, tag, packed, l in rows:
+                data = zlib.decompress(packed)
+                out += [(doc, tag, x["m"], x["start"], x["hot"], data[x["start"]:x["start"] + x["n"] + length - 1]) for x in l]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))],
+                                             ["doc", "tag", "m", "start", "hot", "bytes"])
+    return _packed(docs).join(lists, ["doc", "tag"]).mapInArrow(run, f"{_PLACE}, m long, start int, hot boolean, bytes binary")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``data`` (its last column) compressed: texts move between tasks in a third of their size."""
     def run(batches):
         for b in batches:
-            for doc, tag, text, l in zip(b["doc"], b["tag"], b["text"], b["l"]):
-                data = (text or "").encode()
-                yield pd.DataFrame([(doc, tag, x["m"], x["start"], x["hot"], data[x["start"]:x["start"] + x["n"] + length - 1]) for x in l],
-                                   columns=["doc", "tag", "m", "start", "hot", "bytes"])
-    one = docs.dropDuplicates(["doc", "tag"])
-    return one.join(lists, ["doc", "tag"]).mapInPandas(run, f"{_PLACE}, m long, start long, hot boolean, bytes binary")
+            packed = pa.array([zlib.compress(x or b"", 1) for x in b.columns[-1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], b.schema.names)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _expanded(cut: DataFrame, length: int, buckets: int) -> DataFrame:
     """Repeated ranges ``(doc, tag, s, e)`` among the segments of each bucket of minimizers."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, start = (group[c].to_numpy() for c in ("doc", "tag", "start"))
-        found: dict = {}
-        for text, offset in _repeats(list(group["bytes"]), length):
-            for _, d, t, s in sorted(zip(np.zeros(len(text)), doc[text].tolist(), tag[text].tolist(), (start[text] + offset).tolist()))[1:]:
-                found.setdefault((d, t), []).append((s, s + length))
-        return pd.DataFrame([(*k, s, e) for k, v in found.items() for s, e in _merge(v)], columns=["doc", "tag", "s", "e"])
+        g, text, offset = _repeats(list(group["bytes"]), length)
+        found = pd.DataFrame({"g": g, "doc": group["doc"].to_numpy()[text], "tag": group["tag"].to_numpy()[text],
+                              "s": group["start"].to_numpy(np.int64)[text] + offset}).sort_values(["g", "doc", "tag", "s"], kind="stable")
+        later = found[found["g"].duplicated()].sort_values(["doc", "tag", "s"], kind="stable")
+        if not len(later):
+            return pd.DataFrame({"doc": [], "tag": [], "s": [], "e": []}).astype("int64")
+        # Ranges that overlap or touch are one.
+        d, t, at = (later[c].to_numpy() for c in ("doc", "tag", "s"))
+        new = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (at[1:] > at[:-1] + length)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(at)] - 1
+        return pd.DataFrame({"doc": d[first], "tag": t[first], "s": at[first], "e": at[last] + length})
     return (cut.where(~F.col("hot")).withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
             .groupBy("bucket").applyInPandas(run, f"{_PLACE}, s long, e long"))
 
@@ -166,50 +274,64 @@ def _dealt(cut: DataFrame, length: int) -> DataFrame:
     """The same for minimizers too frequent for one task: windows are dealt out by their own content."""
     def run(batches):
         for b in batches:
-            for doc, tag, start, data in zip(b["doc"], b["tag"], b["start"], b["bytes"]):
+            for doc, tag, start, data in zip(*(c.to_pylist() for c in b.columns)):
                 n = len(data) - length + 1
-                yield pd.DataFrame({"doc": doc, "tag": tag, "s": start + np.arange(n), "w": [hashlib.md5(data[k:k + length]).digest() for k in range(n)]})
-    windows = cut.where("hot").select("doc", "tag", "start", "bytes").mapInPandas(run, f"{_PLACE}, s long, w binary")
+                yield _frame(["doc", "tag", "s", "w"], np.full(n, doc), np.full(n, tag), start + np.arange(n), [hashlib.md5(data[k:k + length]).digest() for k in range(n)])
+    windows = cut.where("hot").select("doc", "tag", "start", "bytes").mapInArrow(run, f"{_PLACE}, s long, w binary")
     here = F.struct("doc", "tag", "s")
     first = windows.groupBy("w").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1")
     return windows.join(first, "w").where(here > F.col("first")).select("doc", "tag", "s", (F.col("s") + length).alias("e"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, task_segments: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, task_segments: int = 1000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     A byte goes if a ``length``-byte string over it starts earlier, by doc_id
     and then place. Null text is empty. Null ids sort last. Of rows that
     share a doc_id but not the text, the smaller text hash comes first; rows
-    equal in both are one document, and each gets its result.
+    equal in both are one document, and each gets its result. Other columns
+    are not read; an empty table gives no rows.
+
+    Segments are dealt out once, by minimizer; those of minimizers met once
+    stop there. A minimizer with over ``task_segments`` different segments is
+    not expanded in one task, its windows are grouped by their own content.
     """
-    named = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"),
-                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    keyed = named.select("doc", "tag", "text")
-    occ = stored(_occurrences(keyed, length), "repeat-segments")
-    here = F.struct("doc", "tag", "start")
-    classes = stored(occ.groupBy("m", "seg").agg(F.min(here).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "repeat-classes")
-    again = (occ.join(classes.where("c > 1").select("m", "seg", "first"), ["m", "seg"]).where(here > F.col("first"))
-             .select("doc", "tag", F.col("start").alias("s"), (F.col("start") + F.col("n") + length - 1).alias("e")))
-    several = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").withColumn("hot", F.col("k") > task_segments)
-    wanted = stored(classes.join(several, "m").select("first.doc", "first.tag", "first.start", "m", "n", "hot"), "repeat-wanted")
+    bounded_batches(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("doc"),
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    # Of rows equal in id and text one is searched; they are found on narrow rows.
+    twice = stored(named.groupBy("doc", "tag").agg(F.count("*").alias("c")).where("c > 1").select("doc", "tag"), "repeat-twins")
+    keyed = named.select("doc", "tag", "data")
+    if not twice.isEmpty():
+        keyed = keyed.dropDuplicates(["doc", "tag"])
+    same = Window.partitionBy("m", "seg").orderBy("doc", "tag", "start")
+    occ = (_occurrences(keyed, length).repartition("m")
+           .withColumn("nth", F.row_number().over(same)).withColumn("met", F.count("*").over(Window.partitionBy("m"))))
+    occ = stored(occ.where("met > 1").drop("met", "seg"), "repeat-segments")
+    again = occ.where("nth > 1").select("doc", "tag", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("e"))
+    classes = occ.where("nth = 1").select("m", "doc", "tag", "start", "n")
+    several = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").withColumn("hot", F.col("k") > task_segments).drop("k")
+    wanted = stored(classes.join(several, "m"), "repeat-wanted")
     buckets = max(1, wanted.where(~F.col("hot")).count() // task_segments)
     cut = stored(_cut(keyed, wanted, length), "repeat-bytes")
     ranges = again.unionByName(_expanded(cut, length, buckets)).unionByName(_dealt(cut, length))
     spans = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("s", "e")).alias("r"))
 
-    def run(text, found):
-        rows = []
-        for t, r in zip(text, found):
-            data = (t or "").encode()
-            cuts = _merge([(x["s"], x["e"]) for x in r]) if r is not None else []
-            done, kept = 0, []
-            for s, e in cuts:
-                kept.append(data[done:s])
-                done = e
-            kept = b"".join([*kept, data[done:]])
-            rows.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [v for c in cuts for v in c]))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-    run.__annotations__ = {"text": pd.Series, "found": pd.Series, "return": pd.DataFrame}
-    done = F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return (named.join(spans, ["doc", "tag"], "left").select("doc_id", done("text", "r").alias("x")).select("doc_id", "x.*"))
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, packed, r in zip(*(c.to_pylist() for c in b.columns)):
+                data = zlib.decompress(packed)
+                cuts = _merge([(x["s"], x["e"]) for x in r]) if r is not None else []
+                done, kept = 0, []
+                for s, e in cuts:
+                    kept.append(data[done:s])
+                    done = e
+                kept = b"".join([*kept, data[done:]])
+                rows.append((doc, len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [v for c in cuts for v in c]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))],
+                                                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    whole = _packed(named).join(spans, ["doc", "tag"], "left")
+    return whole.select("doc_id", "data", "r").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
