@@ -179,21 +179,24 @@ def train(docs: DataFrame, max_unknown: int = 2000, epochs: int = 60, rate: floa
 
 def notices(docs: DataFrame, model: dict, min_probability: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
     """Confirmed notices: key, para, start, family, probability, overlap (of the best template), none over another."""
-    found = _features(docs.sparkSession, windows(docs, min_overlap), "key", "para", "start", "width")
-    weights = F.lit(model["w"])
-    sums = F.aggregate("f", F.lit(model["bias"]), lambda acc, k: F.zip_with(acc, F.get(weights, k), lambda a, b: a + b))
-    found = found.withColumn("z", sums)
+    spark, place = docs.sparkSession, ["key", "para", "start", "width"]
+    grams = stored(_features(spark, windows(docs, min_overlap), *place).select(*place, F.explode("f").alias("k")), "license-grams")
+    # The model and the templates are tables of vocabulary size, joined to the grams of the windows.
+    weights = F.broadcast(spark.createDataFrame([(k, w) for k, w in enumerate(model["w"])], "k int, w array<double>"))
+    z = [F.sum(F.get("w", c)) + F.lit(b) for c, b in enumerate(model["bias"])]
+    found = grams.join(weights, "k").groupBy(*place).agg(F.array(*z).alias("z"))
     e = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / model["heat"]))
     found = found.withColumn("e", e).withColumn("c", F.array_position("e", F.array_max("e")).cast("int"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     found = (found.withColumn("family", F.element_at(F.lit(FAMILIES), F.col("c")))
              .withColumn("probability", F.array_max("e") / total)
              .where((F.col("family") != "unknown") & (F.col("probability") >= min_probability)))
-    def of_templates(value):
-        return F.greatest(*[F.when(F.col("family") == family, value(F.size(F.array_intersect("f", F.lit(pairs))), len(pairs))).otherwise(0.0)
-                            for (family, _), pairs in zip(TEMPLATES, _PAIRS)])
-    found = (found.withColumn("overlap", of_templates(lambda n, of: n / of)).where(F.col("overlap") >= min_overlap)
-             .withColumn("pairs", of_templates(lambda n, of: F.when(n >= min_overlap * of, n.cast("double")).otherwise(0.0))))
+    known = [(k, t, family, len(pairs)) for t, ((family, _), pairs) in enumerate(zip(TEMPLATES, _PAIRS)) for k in pairs]
+    templates = F.broadcast(spark.createDataFrame(known, "k int, t int, family string, of int"))
+    shared = grams.join(templates, "k").groupBy(*place, "family", "t", "of").agg(F.count("*").alias("n"))
+    best = shared.groupBy(*place, "family").agg(F.max(F.col("n") / F.col("of")).alias("overlap"),
+                                                F.max(F.when(F.col("n") >= min_overlap * F.col("of"), F.col("n"))).cast("double").alias("pairs"))
+    found = found.drop("z", "e", "c").join(best, [*place, "family"]).where(F.col("overlap") >= min_overlap)
     # The window of most pairs first, then the surest, then the narrowest; each that touches none taken before.
     order = F.struct((-F.col("pairs")).alias("a"), (-F.col("probability")).alias("b"), "width", "start", "family", "probability", "overlap")
     lists = found.groupBy("key", "para").agg(F.sort_array(F.collect_list(order)).alias("l"))
