@@ -72,6 +72,7 @@ def _sims(head, q, rows):
     return 2 * dots - (own[1][:, None] + square) - (own[2][:, None] - gap) ** 2
 
 
+_GROUP, _WAYS = 4096, 8
 _EDGE = "node long, nbr long, sim double"
 _NONE = pd.DataFrame({"node": np.zeros(0, int), "nbr": np.zeros(0, int), "sim": np.zeros(0)})
 _RATED = pd.DataFrame({"q": np.zeros(0, int), "c": np.zeros(0, int), "s": np.zeros(0)})
@@ -176,7 +177,7 @@ def build_graph(nodes: DataFrame, k: int = 32, passes: int = 4, block: int = 102
     return graph
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 32, beam: int = 200, expand: int = 64, entries: int = 16) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 32, beam: int = 200, expand: int = 200, entries: int = 16) -> DataFrame:
     """Each query's ``k`` nearest found: query_id, rank, vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``. Copies of a
@@ -196,8 +197,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 32, b
     queries = nodes.join(asked.select("node").distinct(), "node").select(F.col("node").alias("q"), F.col("code").alias("qcode"), F.col("v").alias("qv"))
     both = graph.select("node", "nbr").union(_best(_turned(graph), degree).select("node", "nbr"))
     links = stored(both.distinct(), "ann-links")
-    # Queries are rated in groups of about 128, each with the vectors it meets.
-    group = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // 128))))
+    # Queries are rated in groups of about 4,096: a vector goes once to each group that meets it, at most as
+    # often as pairs are met. A group's vectors are dealt over some tasks, each with the group's queries.
+    group = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // _GROUP))))
+    way = F.pmod(F.xxhash64("c"), F.lit(_WAYS)).cast("int")
 
     def rate(asking, offers):
         (head, x), at = _decode(asking["qcode"]), pd.Series(np.arange(len(asking)), asking["q"])
@@ -230,8 +233,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 32, b
         offers = (fresh.groupBy(group.alias("g"), "c").agg(F.collect_list("q").alias("qs"))
                   .join(nodes.select(F.col("node").alias("c"), "code"), "c"))
         floor = met.groupBy("q").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(float("-inf")).alias("floor"))
-        asking = queries.join(floor, "q").select(group.alias("g"), "q", "qcode", "floor")
-        rated = (asking.groupBy("g").cogroup(offers.groupBy("g")).applyInPandas(rate, "q long, c long, s double")
+        asking = queries.join(floor, "q").select(group.alias("g"), F.explode(F.lit([*range(_WAYS)])).alias("way"), "q", "qcode", "floor")
+        rated = (asking.groupBy("g", "way").cogroup(offers.withColumn("way", way).groupBy("g", "way")).applyInPandas(rate, "q long, c long, s double")
                  .withColumn("left", F.lit(False)))
         met = (met.select("q", "c", "s", "left").unionByName(rated)
                .withColumn("r", F.row_number().over(place)).where(F.col("r") <= beam).drop("r"))
