@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickwise.llm import ann, decontaminate, html, license, merkle, packing, pii, quality, repeats, secret_scan, simhash, toxicity, whitening
+from clickwise.llm import ann, decontaminate, html, license, merkle, oracles, packing, pii, quality, repeats, secret_scan, simhash, toxicity, whitening
 from clickwise.llm.common import read
 
 
@@ -67,4 +67,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracles.oracle_sql()
