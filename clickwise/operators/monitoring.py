@@ -1,7 +1,7 @@
 """Operational time series: health, failover, alarms, rates, quantiles.
 
-Per-series sequential logic uses ``operators.scans`` (bucketed two-level
-scans); period-based rules aggregate per (series, period) first and then
+Per-series sequential logic uses ``operators.scans`` (two-level scans over
+buckets of a bounded number of rows); period-based rules aggregate per (series, period) first and then
 expand each aggregated period to the periods it influences, so no window
 ever spans a whole series.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwise.functions.money import to_cents
-from clickwise.operators.scans import maxplus_scan
+from clickwise.operators.scans import BUCKET_ROWS, Counter, counter_scan, dense_buckets
 
 # Failover thresholds and the decision names.
 FAILURE_THRESHOLD = 3
@@ -78,23 +78,20 @@ def failover_decisions(df: DataFrame, primary: str, region_col: str = "region",
                        tie_col: str = "check_id", failure_threshold: int = FAILURE_THRESHOLD,
                        recovery_threshold: int = RECOVERY_THRESHOLD, initial_state: str = "ACTIVE_PRIMARY",
                        initial_failures: int = 0, initial_recoveries: int = 0,
-                       bucket_seconds: int = 3600) -> DataFrame:
+                       bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The monitor's counters and decisions for every primary-region check.
 
     failures: UNHEALTHY +1, HEALTHY reset 0, DEGRADED max(0, f-1);
     recoveries: HEALTHY +1, anything else reset 0. A decision is emitted on
     every qualifying row; the state is an input and is not advanced (X6).
+    Both counters come from one scan.
     """
     rows = df.where(F.col(region_col) == primary)
     st = F.col("status")
-    bucket = period_start(F.col(ts_col), bucket_seconds)
-    order = [ts_col, tie_col]
-    rows = maxplus_scan(rows, [region_col], order, bucket,
-                        reset=st == "HEALTHY", c=F.when(st == "DEGRADED", 0).when(st == "HEALTHY", 0),
-                        d=F.when(st == "UNHEALTHY", 1).otherwise(-1), x0=initial_failures, out="failures")
-    rows = maxplus_scan(rows, [region_col], order, bucket,
-                        reset=st != "HEALTHY", c=F.when(st != "HEALTHY", 0), d=F.lit(1),
-                        x0=initial_recoveries, out="recoveries")
+    rows = counter_scan(rows, [region_col], [ts_col, tie_col], {
+        "failures": Counter(st == "HEALTHY", F.when(st.isin("DEGRADED", "HEALTHY"), 0), F.when(st == "UNHEALTHY", 1).otherwise(-1), initial_failures),
+        "recoveries": Counter(st != "HEALTHY", F.when(st != "HEALTHY", 0), F.lit(1), initial_recoveries),
+    }, bucket_rows)
     decision = (F.when((st == "UNHEALTHY") & (F.col("failures") >= failure_threshold), FAILOVER)
                 .when((st == "HEALTHY") & F.lit(initial_state == "ACTIVE_SECONDARY")
                       & (F.col("recoveries") >= recovery_threshold), FAILBACK))
@@ -269,23 +266,22 @@ def rate_exceeded(df: DataFrame, key_col: str, ts_col: str, limit: int = 2000, w
 
 
 def time_to_status(df: DataFrame, series: list[str], ts_col: str, tie_col: str, is_incident: Column,
-                   is_target: Column, timeout_seconds: int = 600, bucket_seconds: int = 3600) -> DataFrame:
+                   is_target: Column, timeout_seconds: int = 600, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each incident row, the first later target row of its series
     less than ``timeout_seconds`` later (else timed out).
 
-    "Next target time" is a suffix minimum: inside each time bucket by a
-    bucket-local window, across buckets from the per-bucket minima (a table
-    of one row per series and bucket). No incident is paired with more than
-    one candidate row.
+    "Next target time" is a suffix minimum: inside each bucket of at most
+    ``bucket_rows`` rows by a bucket-local window, across buckets from the
+    per-bucket minima (one row per bucket). No incident is paired with more
+    than one candidate row.
     """
-    rows = df.withColumns({"_bucket": period_start(F.col(ts_col), bucket_seconds),
-                           "_inc": is_incident, "_tgt": is_target})
+    rows = dense_buckets(df.withColumns({"_inc": is_incident, "_tgt": is_target}), series, [ts_col, tie_col], bucket_rows)
     w = Window.partitionBy(*series, "_bucket").orderBy(ts_col, tie_col).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("_next_local", F.min(F.when(F.col("_tgt"), F.col(ts_col))).over(w))
+    local = rows.withColumn("_next_local", F.min(F.when(F.col("_tgt"), F.col(ts_col))).over(w))
     per_bucket = rows.groupBy(*series, "_bucket").agg(F.min(F.when(F.col("_tgt"), F.col(ts_col))).alias("_first"))
     wb = Window.partitionBy(*series).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     per_bucket = per_bucket.withColumn("_next_bucket", F.min("_first").over(wb)).drop("_first")
-    rows = rows.where(F.col("_inc")).join(per_bucket, series + ["_bucket"], "left")
+    rows = local.where(F.col("_inc")).join(per_bucket, series + ["_bucket"], "left")
     nxt = F.coalesce(F.col("_next_local"), F.col("_next_bucket"))
     secs = F.timestamp_diff("SECOND", F.col(ts_col), nxt)
     ok = nxt.isNotNull() & (F.timestamp_diff("MICROSECOND", F.col(ts_col), nxt) < timeout_seconds * 1_000_000)

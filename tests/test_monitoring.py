@@ -28,7 +28,7 @@ def _fold(statuses, f=0, r=0, state="ACTIVE_PRIMARY"):
 
 
 def _run(spark, statuses, **kw):
-    df = M.failover_decisions(_checks(spark, statuses), "eu-west-2", bucket_seconds=120, **kw)
+    df = M.failover_decisions(_checks(spark, statuses), "eu-west-2", bucket_rows=7, **kw)
     return [(r.failures, r.recoveries, r.decision) for r in df.orderBy("check_id").collect()]
 
 
@@ -69,5 +69,5 @@ def test_time_to_status(spark):
     df = _checks(spark, ["UNHEALTHY", "DEGRADED", "HEALTHY", "UNHEALTHY"] + ["DEGRADED"] * 30, step_s=30)
     from pyspark.sql import functions as F
     out = M.time_to_status(df, ["region"], "ts", "check_id", F.col("status") == "UNHEALTHY",
-                           F.col("status") == "HEALTHY", 600, bucket_seconds=60).orderBy("check_id").collect()
+                           F.col("status") == "HEALTHY", 600, bucket_rows=2).orderBy("check_id").collect()
     assert [(r.seconds_to_status, r.timed_out) for r in out] == [(60, False), (None, True)]
