@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickwise.session import ensure_checkpoint_dir
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -12,6 +12,7 @@ back as runs of ranks, and each piece finds its place by its own rank.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -24,11 +25,13 @@ from clickwise.llm.common import bounded_batches, stored
 
 TOKENIZER = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
-_SLICE = 500_000  # ids handed back at once
+_SLICE = 200_000  # ids handed back at once
 
 
 def _tokenizer(path):
     if path not in _TOKENIZERS:
+        # One text at a time: a pool of threads would only hold memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         _TOKENIZERS[path] = Tokenizer.from_file(path)
     return _TOKENIZERS[path]
