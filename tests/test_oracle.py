@@ -54,3 +54,22 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+FLAGS = [("alarm_error_count", "in_alarm"), ("alarm_consumer_lag", "in_alarm"), ("error_rate_alert", "firing"), ("latency_alert", "firing"),
+         ("latency_p95", "above_100ms"), ("rate_limit_windows", "blocked"), ("time_to_recover", "timed_out"), ("checkout_placement", "idempotent")]
+
+
+@pytest.mark.parametrize("name, column", FLAGS)
+def test_both_outcomes_occur(spark, name, column):
+    rows = E.queries()[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()
+    assert {True, False} <= {r[0] for r in rows}
+
+
+def test_all_outcomes_occur(spark):
+    def values(name, column):
+        return {r[0] for r in E.queries()[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
+    assert values("failover_probe", "outcome") == {"confirmed", "responding", "not_failed_over"}
+    assert values("schema_drift", "change") == {"added", "updated", "deprecated", "unchanged"}
+    assert {"FAILOVER_TO_SECONDARY", "FAILBACK_TO_PRIMARY", None} == values("failover_decisions", "decision")
+    assert any(n for n in values("order_lifecycle", "n_illegal")) and {"SHIPPED", "CANCELLED", "VALIDATED"} <= values("order_lifecycle", "status")
