@@ -32,6 +32,11 @@ FURNITURE = frozenset(
     "sidebar aside footer header masthead comment comments reply replies disqus cookie cookies consent notice notices banner "
     "popup modal newsletter subscribe signup share sharing social related recommended recommendations pagination pager widget "
     "form login search".split())
+# Of these names, those that are never an article's own, however long the element is.
+ALIEN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs disqus cookie cookies consent "
+    "popup modal newsletter subscribe share sharing pagination pager login".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES_P = BLOCK - frozenset("body html option tbody thead tfoot tr td th summary legend".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -48,11 +53,11 @@ _NAMES = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "hidden", "doubt", "worth", "holds")
+    __slots__ = ("tag", "parent", "path", "hidden", "doubt", "alien", "worth", "holds", "prose", "titled")
 
-    def __init__(self, tag, parent, path, hidden, doubt=False):
-        self.tag, self.parent, self.path, self.hidden, self.doubt = tag, parent, path, hidden, doubt
-        self.worth, self.holds = 0, False
+    def __init__(self, tag, parent, path, hidden, doubt=False, alien=False):
+        self.tag, self.parent, self.path, self.hidden, self.doubt, self.alien = tag, parent, path, hidden, doubt, alien
+        self.worth, self.holds, self.prose, self.titled = 0, False, False, False
 
 
 class _Page(HTMLParser):
@@ -107,7 +112,11 @@ class _Page(HTMLParser):
                   or found.get("role", "") in ROLES or (tag == "header" and not inside)
                   or bool(re.search(r"display\s*:\s*none", found.get("style", ""))))
         doubt = tag == "form" or bool(named & (FURNITURE if not root else {"comment", "comments", "reply"})) and tag not in ("html", "body")
-        self.at = _Node(tag, self.at, path, hidden, doubt and not hidden)
+        alien = bool(named & ALIEN) and not root
+        if tag not in BLOCK:
+            # An advert inside a paragraph is no block of its own; the paragraph goes on around it.
+            hidden = hidden or alien
+        self.at = _Node(tag, self.at, path, hidden, doubt and not hidden, alien and not hidden)
         if tag in ("article", "main") and not doubt and not hidden:
             up = self.at.parent
             while up:
@@ -157,19 +166,20 @@ def _blocks(html: str | None):
     for node, text, links in page.blocks:
         plain = max(0, len(text) - links)
         total += plain
+        prose, titled = node.tag in PROSE, node.tag == "h1"
         while node:
-            node.worth, node = node.worth + plain, node.parent
+            node.worth, node.prose, node.titled, node = node.worth + plain, node.prose or prose, node.titled or titled, node.parent
 
     def furniture(node):
         while node:
             outside = top.holds and not re.search(">(?:article|main)", node.path)
-            if node.doubt and not node.holds and (outside or 2 * node.worth <= total):
+            if node.doubt and not node.holds and (outside or 2 * node.worth <= total or node.alien and not node.titled
+                                                  or node.tag == "form" and not node.prose):
                 return True
             node = node.parent
         return False
-    # Comments under an article stay furniture however long they are, if other text is there.
-    kept = [b for b in page.blocks if not furniture(b[0]) and not _replies(b[0])]
-    return kept or [b for b in page.blocks if not furniture(b[0])] or page.blocks
+    # Comments are furniture however long they are; a page of nothing but furniture has no text.
+    return [b for b in page.blocks if not furniture(b[0]) and not _replies(b[0])]
 
 
 def _replies(node):
@@ -194,11 +204,16 @@ def _container(node):
 def _scores(blocks) -> dict[str, float]:
     """Text gathered by the containers of a page, by generalised path."""
     out: dict[str, float] = {}
-    for node, text, links in blocks:
-        worth = len(text) * (1 - min(1.0, links / len(text)))
+    worths = [len(text) * (1 - min(1.0, links / len(text))) for _, text, links in blocks]
+    # The headline belongs to the article, however short it is: it weighs a tenth of the page.
+    title = next((k for k, (node, *_) in enumerate(blocks) if node.tag == "h1"), None)
+    if title is not None:
+        worths[title] += sum(worths) / 10
+    for (node, *_), worth in zip(blocks, worths):
         holder = node if node.tag in ("div", "section", "article", "main", "td", "body", "") else node.parent
         own = _container(holder)
-        for share in (1.0, 0.5):
+        # The element around counts nearly as much: it wins where the text is not all in one of its parts.
+        for share in (1.0, 0.95):
             if own is None:
                 break
             out[own.path] = out.get(own.path, 0.0) + worth * share

@@ -150,6 +150,23 @@ def test_html_keeps_text_in_elements_named_like_furniture():
     assert html.extract(f"<article><div class='article-header'><h1>Head</h1></div>{story}<div class='share'>Share</div></article>", None) == "Head\n" + want
 
 
+def test_html_leaves_out_what_is_no_article_and_keeps_all_that_is():
+    long = ("Some long article text that goes on for quite a while and says things. " * 3).strip()
+    cases = {
+        "<form class='login'>User name <input> Password <input></form>": "",
+        "<form><label>User name</label><label>Password</label></form>": "",
+        "<div class='comments'><p>nice one</p></div>": "",
+        "<div class='cookie-banner'>We use cookies to make this site better for all of our readers. Accept?</div><p>Hi.</p>": "Hi.",
+        f"<div class='lead'>A short lead.</div><div class='text'><p>{long}</p></div>": f"A short lead.\n{long}",
+        f"<div class=post><h1>Title</h1><div class=entry><p>{long * 50}</p></div></div>": f"Title\n{long * 50}",
+        f"<p>One <span class='ad'>Buy now</span> two {long}</p>": f"One two {long}",
+        f"<form action=x><div><h1>T</h1><p>{long}</p></div></form>": f"T\n{long}",
+        f"<nav>x</nav><div class=ad>{long * 9}</div><article><h1>H</h1><p>b</p></article><footer>f</footer>": "H\nb",
+    }
+    for body, want in cases.items():
+        assert html.extract(f"<body>{body}</body>", None) == want, body[:60]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<body><div class=m><p>long text here</p></div>"), (2, None, None)], "page_id long, url string, html string")
     assert {r.page_id: (r.text, r.n_chars) for r in html.main_text(pages).collect()} == {1: ("long text here", 14), 2: ("", 0)}
