@@ -20,10 +20,6 @@ def to_cents(col) -> Column:
     return F.round(_c(col) * F.lit(100)).try_cast("long")
 
 
-def cents_to_money(col) -> Column:
-    return _c(col).cast("double") / F.lit(100)
-
-
 def exact_amount(col) -> Column:
     """Unvalidated money value -> exact decimal with ten places; NULL where it does not fit (NaN, infinite, 10^18 on)."""
     return _c(col).try_cast("decimal(28,10)")
@@ -49,9 +45,3 @@ def rounded_ratio(num, den, digits: int = 0, scale: int = 1) -> Column:
     den_c = _c(den)
     q = F.round(_c(num).cast("double") * F.lit(factor) / F.when(den_c != 0, den_c).cast("double"))
     return q / F.lit(10 ** digits) if digits else q
-
-
-def avg_money(sum_cents, n, rounded: bool = True) -> Column:
-    """``ROUND(AVG(amount), 2)`` (or the unrounded AVG) from exact cents."""
-    s, c = _c(sum_cents).cast("double"), F.when(_c(n) != 0, _c(n)).cast("double")
-    return (F.round(s / c) if rounded else s / c) / F.lit(100)
