@@ -8,7 +8,6 @@ is broadcast is bounded: a larger benchmark takes more blocks (passes).
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
