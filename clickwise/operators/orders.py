@@ -341,13 +341,19 @@ def create_orders(df: DataFrame, items_col: str = "items", as_of=None) -> DataFr
 
 
 # ------------------------------------------------------------------ routing, history, status
+BROADCAST_RULES = 100_000
+RULE_WAYS = 32
+
+
 def route_events(events: DataFrame, rules: DataFrame) -> DataFrame:
     """C4: every (event, target) whose rule matches source and detail type.
 
     Rules become rows keyed by detail type and either the exact source or a
     source prefix of some length; an event looks up its source, and its
-    prefixes of just the lengths that rules use. Both are equi-joins, so the
-    plan is the same for ten rules or ten million.
+    prefixes of just the lengths that rules use, in one equi-join. Events have
+    few sources, so they are not brought together by them: up to
+    ``BROADCAST_RULES`` rule rows go to every task, more are repeated over
+    ``RULE_WAYS`` ways that events are dealt to.
     """
     r = rules.withColumn("detail_type", F.explode(F.array_distinct("detail_types")))
     # An exact source that its own rule's prefix covers is left out: no event matches a rule twice.
@@ -357,10 +363,16 @@ def route_events(events: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(F.col("source_prefix").isNotNull(), F.struct(F.length("source_prefix").alias("n"), F.col("source_prefix").alias("s")))),
         lambda k: k.isNotNull())
     r = r.select("target", "detail_type", F.explode(keys).alias("_k"))
-    lengths = [x.n for x in rules.select(F.length("source_prefix").alias("n")).where("n is not null").distinct().collect()]
+    found = r.agg(F.count(F.lit(1)).alias("rows"), F.collect_set(F.when(F.col("_k.n") >= 0, F.col("_k.n"))).alias("lengths")).first()
     probe = F.array(F.struct(F.lit(-1).alias("n"), F.col("source").alias("s")),
-                    *[F.struct(F.lit(n).alias("n"), F.when(F.length("source") >= n, F.substring("source", 1, n)).alias("s")) for n in sorted(lengths)])
-    return events.withColumn("_k", F.explode(probe)).join(r, ["_k", "detail_type"]).select(*events.columns, "target")
+                    *[F.struct(F.lit(n).alias("n"), F.when(F.length("source") >= n, F.substring("source", 1, n)).alias("s")) for n in sorted(found.lengths)])
+    probed = events.withColumn("_k", F.explode(probe))
+    if found.rows <= BROADCAST_RULES:
+        return probed.join(F.broadcast(r), ["_k", "detail_type"]).select(*events.columns, "target")
+    way = F.pmod(F.xxhash64(*events.columns, F.spark_partition_id()), F.lit(RULE_WAYS))
+    dealt = probed.withColumn("_way", way)
+    ways = r.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RULE_WAYS - 1).cast("long"))))
+    return dealt.join(ways, ["_k", "detail_type", "_way"]).select(*events.columns, "target")
 
 
 def customer_orders(orders: DataFrame, start: str, end: str, customer_id: str | None = None) -> DataFrame:
