@@ -80,6 +80,8 @@ def zone_texts(spark, sf_dir):
     """JSON lines of a zone whose schema changes at ``_BORDER``: amounts get decimals, ``legacy`` goes,
     ``client.country`` and ``tags`` come, and ``note`` is text where it was a number."""
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    # A few compressed columns become long texts: rows are dealt out by number, not by stored size.
+    ev = ev.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), "event_id", "ts", "user_id")
     late = F.col("ts") >= F.lit(_BORDER).cast("timestamp_ntz")
     whole = F.floor("value").cast("string")
     text = F.concat(

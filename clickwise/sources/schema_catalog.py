@@ -26,8 +26,13 @@ def zone_lines(spark: SparkSession, path: str, excluded: tuple[str, ...] = EXCLU
     return lines.select("value")
 
 
-def _kind(value: Column) -> Column:
-    t = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def _type_name(value: Column) -> Column:
+    """The type of a variant up to what a container holds: BIGINT, DECIMAL(3,1), OBJECT."""
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
+
+
+def _kind(type_name: Column) -> Column:
+    t = F.regexp_extract(type_name, "^[A-Z]+", 0)
     return (F.when(t.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "BIGINT")
             .when(t.isin("FLOAT", "DOUBLE", "DECIMAL"), "DOUBLE").otherwise(t))
 
@@ -36,21 +41,27 @@ def schema_summary(lines: DataFrame, json_col: str = "value") -> DataFrame:
     """``(path, kinds, n)`` of a column of JSON texts; texts that are no object are left out.
 
     One pass per nesting level; a level is reduced to (path, kind) counts in
-    each task before anything is shuffled.
+    each task before anything is shuffled, and the counts are kept: they say
+    whether there is another level, and no use of the summary reads the texts
+    again.
     """
     level = lines.select(F.lit("").alias("_at"), F.try_parse_json(F.col(json_col)).alias("_v"))
-    level = level.where(_kind(F.col("_v")) == "OBJECT")
+    # Only objects become maps; a text that is none has no fields.
+    level = level.select("_at", "_v", F.lit("OBJECT").alias("_t"))
     parts = []
-    while True:
-        fields = level.where(_kind(F.col("_v")) == "OBJECT").select("_at", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("_k", "_v"))
-        fields = fields.select(F.concat("_at", "_k").alias("_path"), "_v")
-        if parts:
-            items = level.where(_kind(F.col("_v")) == "ARRAY").select("_at", F.explode(F.try_variant_get("_v", "$", "array<variant>")).alias("_v"))
-            fields = fields.unionByName(items.select(F.concat(F.regexp_replace("_at", r"\.$", ""), F.lit("[]")).alias("_path"), "_v"))
-        parts.append(fields.groupBy(F.col("_path").alias("path"), _kind(F.col("_v")).alias("kind")).agg(F.count(F.lit(1)).alias("n")))
-        level = fields.where(_kind(F.col("_v")).isin("OBJECT", "ARRAY")).select(F.concat("_path", F.lit(".")).alias("_at"), "_v")
-        if level.isEmpty():
-            break
+    while not parts or not parts[-1].where(F.col("kind").isin("OBJECT", "ARRAY")).isEmpty():
+        items = F.try_variant_get("_v", "$", "array<variant>")
+        places = F.map_from_arrays(F.sequence(F.lit(1), F.size(items)).cast("array<string>"), items)
+        inside = F.when(F.col("_t") == "OBJECT", F.try_variant_get("_v", "$", "map<string,variant>")).when(F.size(items) > 0, places)
+        fields = level.select("_at", "_t", F.explode(inside).alias("_k", "_v"))
+        path = F.when(F.col("_t") == "ARRAY", F.concat(F.regexp_replace("_at", r"\.$", ""), F.lit("[]"))).otherwise(F.concat("_at", "_k"))
+        fields = fields.select(path.alias("_path"), "_v", _type_name(F.col("_v")).alias("_t"))
+        parts.append(fields.groupBy(F.col("_path").alias("path"), "_t").agg(F.count(F.lit(1)).alias("n"))
+                     .select("path", _kind(F.col("_t")).alias("kind"), "n").checkpoint())
+        level = fields.where(F.col("_t").isin("OBJECT", "ARRAY")).select(F.concat("_path", F.lit(".")).alias("_at"), "_v", "_t")
+        if len(parts) > 1:
+            # Deep levels are few values; plans over all levels above them would grow too large.
+            level = level.checkpoint()
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
