@@ -12,7 +12,9 @@ back as runs of ranks, and each piece finds its place by its own rank.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,14 +28,72 @@ from clickwise.llm.common import bounded_batches, stored
 TOKENIZER = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
 _SLICE = 200_000  # ids handed back at once
+# Pieces of a text that get their ids on their own: a word before white space or a stop, the stops after it, else all up to white space.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(rf"[{_LETTERS}]++(?![^\t-\r .,;:!?])|[.,;:!?]++(?![^\t-\r ])|[^\t-\r ]+")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_WORDS = 300_000  # words a task remembers
+_WORD_CHARS = 40  # longer ones are not remembered
+# Steps known to see no further than such a piece: nothing composes with a space, a stop or a letter before one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest in order from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Words(dict):
+    """Ids of words as bytes, each word encoded once while it is remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word):
+        found = self.encode(word)
+        if len(word) <= _WORD_CHARS:
+            if len(self) >= _WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer file gives a text the ids of its ``_WORD`` pieces, one after the other."""
+    return (config.get("normalizer") == _NORMALIZER and config.get("pre_tokenizer") == _PRE_TOKENIZER
+            and not config.get("truncation") and not config.get("padding")
+            and config["model"].get("type") == "BPE" and not config["model"].get("dropout")
+            and all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])
+                    for t in config.get("added_tokens", [])))
 
 
 def _tokenizer(path):
+    """A function from a text to its ids as little-endian bytes."""
     if path not in _TOKENIZERS:
         # One text at a time: a pool of threads would only hold memory.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        tok = Tokenizer.from_file(path)
+
+        def encode(text):
+            return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            local = by_words(json.load(f))
+        if local:
+            model = tok.model
+
+            def piece(word):
+                if not _PLAIN.fullmatch(word):
+                    return encode(word)
+                # A word of plain letters is one token of the splitter, and only its case changes.
+                return np.array([t.id for t in model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE))], "<u4").tobytes()
+            words = _Words(piece)
+            _TOKENIZERS[path] = lambda text: b"".join([words[w] for w in _WORD.findall(text)])
+        else:
+            _TOKENIZERS[path] = encode
     return _TOKENIZERS[path]
 
 
@@ -45,17 +105,18 @@ def default_tokenizer() -> str:
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eos: int = 0, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``; null text counts as empty (one ``eos``)."""
     bounded_batches(docs.sparkSession)
+    # A word's ids do not hang on its neighbours for a tokenizer that `by_words` knows; any other gets whole texts.
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     # Ids as text on the way: a null among longs would make them floats.
     keyed = docs.select(F.col("doc_id").cast("string"), "text")
 
     def run(batches):
-        tok = _tokenizer(tokenizer or default_tokenizer())
+        tok, end = _tokenizer(tokenizer or default_tokenizer()), np.array([eos], "<u4").tobytes()
         rows: list = []
         held = 0
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*tok.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, eos], "<u4")
+                ids = np.frombuffer(tok(text or "") + end, "<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     row = (doc, k, at, len(part), zlib.crc32(part.tobytes()))
