@@ -110,18 +110,24 @@ def segments(texts: list[bytes], length: int):
 def _suffixes(s: np.ndarray) -> np.ndarray:
     """The suffix array of ``s``, whose end marks are all different, by prefix doubling."""
     total = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    letter = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
+    # The first key holds as many letters as fit; ranks decide equal keys, so the sort need not be stable.
+    bits = int(letter.max()).bit_length()
+    step = max(1, min(total, 63 // bits))
+    key = np.zeros(total, np.int64)
+    for i in range(step):
+        key <<= bits
+        key[:total - i] |= letter[i:]
     while True:
-        after = np.zeros(total, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (total + 1) + after
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         ordered = key[sa]
         rank = np.empty(total, np.int64)
         rank[sa] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
         if rank[sa[-1]] == total - 1:
             return sa
+        after = np.zeros(total, np.int64)
+        after[:-step] = rank[step:] + 1
+        key = rank * (total + 1) + after
         step *= 2
 
 
@@ -147,12 +153,13 @@ def _repeats(texts: list[bytes], length: int):
     bwt = s[sa - 1]
     # The place of the suffix one letter longer, for each suffix: letters in order, each keeping its own.
     longer = np.empty(total, np.int64)
-    longer[np.argsort(bwt, kind="stable")] = np.arange(total)
+    narrow = bwt.astype(np.uint16) if k <= 65_000 else bwt  # two bytes are sorted by counting
+    longer[np.argsort(narrow, kind="stable")] = np.arange(total)
     letters = np.unique(s[body])
     first = np.searchsorted(np.sort(s), letters)
     seen = np.zeros((len(letters), total + 1), np.int32)
     for i, c in enumerate(letters):
-        np.cumsum(bwt == c, out=seen[i, 1:])
+        np.cumsum(narrow == c, out=seen[i, 1:])
     boundary = np.zeros(total + 1, bool)
     boundary[0] = boundary[total] = True
     lo, hi = np.array([0]), np.array([total])
