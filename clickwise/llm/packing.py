@@ -32,7 +32,7 @@ _SLICE = 200_000  # ids handed back at once
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(rf"[{_LETTERS}]++(?![^\t-\r .,;:!?])|[.,;:!?]++(?![^\t-\r ])|[^\t-\r ]+")
 _PLAIN = re.compile(f"[{_LETTERS}]+")
-_WORDS = 300_000  # words a task remembers
+_WORDS = 300_000  # words a task remembers from each of two rounds
 _WORD_CHARS = 40  # longer ones are not remembered
 # Steps known to see no further than such a piece: nothing composes with a space, a stop or a letter before one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -50,12 +50,14 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word):
-        found = self.encode(word)
+        found = self.older.pop(word, None) or self.encode(word)
         if len(word) <= _WORD_CHARS:
             if len(self) >= _WORDS:
+                # Words used since the last time stay for another round.
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
