@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(rf"[{_LETTERS}]++(?![^\t-\r .,;:!?])|[.,;:!?]++(?![^\t-\r ])|[^\t-\r ]+")
 _PLAIN = re.compile(f"[{_LETTERS}]+")
 _WORDS = 300_000  # words a task remembers from each of two rounds
+_WORDS_BESIDE_IDS = 50_000  # the same where it hands the ids back too
 _WORD_CHARS = 40  # longer ones are not remembered
 # Steps known to see no further than such a piece: nothing composes with a space, a stop or a letter before one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -48,14 +50,14 @@ _BYTE = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in ra
 class _Words(dict):
     """Ids of words as bytes, each word encoded once while it is remembered."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most=None):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.most = encode, {}, most or _WORDS
 
     def __missing__(self, word):
         found = self.older.pop(word, None) or self.encode(word)
         if len(word) <= _WORD_CHARS:
-            if len(self) >= _WORDS:
+            if len(self) >= self.most:
                 # Words used since the last time stay for another round.
                 self.older = dict(self)
                 self.clear()
@@ -72,8 +74,8 @@ def by_words(config: dict) -> bool:
                     for t in config.get("added_tokens", [])))
 
 
-def _tokenizer(path):
-    """A function from a text to its ids as little-endian bytes."""
+def _tokenizer(path, most=None):
+    """A function from a text to its ids as little-endian bytes; it remembers up to ``most`` words a round and goes with its task."""
     if path not in _TOKENIZERS:
         # One text at a time: a pool of threads would only hold memory.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,11 +94,14 @@ def _tokenizer(path):
                     return encode(word)
                 # A word of plain letters is one token of the splitter, and only its case changes.
                 return np.array([t.id for t in model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE))], "<u4").tobytes()
-            words = _Words(piece)
-            _TOKENIZERS[path] = lambda text: b"".join([words[w] for w in _WORD.findall(text)])
+            _TOKENIZERS[path] = piece, True
         else:
-            _TOKENIZERS[path] = encode
-    return _TOKENIZERS[path]
+            _TOKENIZERS[path] = encode, False
+    found, local = _TOKENIZERS[path]
+    if not local:
+        return found
+    words = _Words(found, most)
+    return lambda text: b"".join([words[w] for w in _WORD.findall(text)])
 
 
 def default_tokenizer() -> str:
@@ -108,29 +113,40 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     """``(doc_id, piece, start, length, ids_crc32[, ids])``; null text counts as empty (one ``eos``)."""
     bounded_batches(docs.sparkSession)
     # A word's ids do not hang on its neighbours for a tokenizer that `by_words` knows; any other gets whole texts.
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    # Ids as text on the way: a null among longs would make them floats.
+    kinds = [("doc_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    # Ids as text on the way: whatever type they have.
     keyed = docs.select(F.col("doc_id").cast("string"), "text")
 
+    def frame(rows, parts):
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)]
+        if with_ids:
+            # One flat array of ids and where each piece begins, not an object a piece.
+            begin = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(begin), pa.array(np.concatenate(parts).view(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, [n for n, _ in kinds] + ["ids"] * with_ids)
+
     def run(batches):
-        tok, end = _tokenizer(tokenizer or default_tokenizer()), np.array([eos], "<u4").tobytes()
+        tok = _tokenizer(tokenizer or default_tokenizer(), _WORDS_BESIDE_IDS if with_ids else None)
+        end = np.array([eos], "<u4").tobytes()
         rows: list = []
+        parts: list = []
         held = 0
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.frombuffer(tok(text or "") + end, "<u4")
+                ids = np.frombuffer(tok(text.as_py() or "") + end, "<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
-                    row = (doc, k, at, len(part), zlib.crc32(part.tobytes()))
-                    rows.append((*row, part.astype(np.int32)) if with_ids else row)
+                    rows.append((doc.as_py(), k, at, len(part), zlib.crc32(part.tobytes())))
+                    if with_ids:
+                        parts.append(part)
                     held += len(part) if with_ids else 8
                     if held >= _SLICE:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
+                        yield frame(rows, parts)
+                        rows, parts, held = [], [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield frame(rows, parts)
     kind = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return keyed.mapInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return keyed.mapInArrow(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan_runs(histogram: dict[int, int], capacity: int):

@@ -44,3 +44,31 @@ def test_other_tokenizers_get_whole_texts():
     assert P.by_words(config)
     for key, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 5})):
         assert not P.by_words(config | {key: value})
+
+
+def test_words_go_with_their_task(monkeypatch):
+    made = []
+
+    class Words(P._Words):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+    monkeypatch.setattr(P, "_Words", Words)
+    path = P.default_tokenizer()
+    first, second = P._tokenizer(path), P._tokenizer(path, 2)
+    assert first("one two three four") == second("one two three four")
+    # Each task remembers words of its own, and no more than it may; what it held goes with it.
+    assert len(made) == 2 and len(made[0]) == 4 and len(made[1]) <= 2
+    assert not any(isinstance(x, P._Words) for kept in P._TOKENIZERS.values() for x in (kept if isinstance(kept, tuple) else [c.cell_contents for c in kept.__closure__]))
+
+
+def test_ids_come_in_bounded_slices(spark, monkeypatch):
+    texts = [None, "", "a b c " * 50, "one two. " * 30]
+    docs = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    whole = tokenizers.Tokenizer.from_file(P.default_tokenizer())
+    got = P.pieces(docs, 64, with_ids=True).orderBy("doc_id", "piece").collect()
+    ids = {}
+    for r in got:
+        assert len(r.ids) == r.length and r.start == len(ids.get(r.doc_id, []))
+        ids[r.doc_id] = ids.get(r.doc_id, []) + r.ids
+    assert ids == {(None if k == 1 else k): whole.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
