@@ -277,17 +277,72 @@ def _expanded(cut: DataFrame, length: int, buckets: int) -> DataFrame:
             .groupBy("bucket").applyInPandas(run, f"{_PLACE}, s long, e long"))
 
 
-def _dealt(cut: DataFrame, length: int) -> DataFrame:
-    """The same for minimizers too frequent for one task: windows are dealt out by their own content."""
+def _anchored(cut: DataFrame, length: int) -> DataFrame:
+    """``(doc, tag, start, bytes, p, lo, hi)`` of segments: the minimizer's place, and how far before it windows of its group may start."""
     def run(batches):
         for b in batches:
-            for doc, tag, start, data in zip(*(c.to_pylist() for c in b.columns)):
-                n = len(data) - length + 1
-                yield _frame(["doc", "tag", "s", "w"], np.full(n, doc), np.full(n, tag), start + np.arange(n), [hashlib.md5(data[k:k + length]).digest() for k in range(n)])
-    windows = cut.where("hot").select("doc", "tag", "start", "bytes").mapInArrow(run, f"{_PLACE}, s long, w binary")
-    here = F.struct("doc", "tag", "s")
-    first = windows.groupBy("w").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1")
-    return windows.join(first, "w").where(here > F.col("first")).select("doc", "tag", "s", (F.col("s") + length).alias("e"))
+            if b.num_rows:
+                data = b["bytes"].to_pylist()
+                sizes = np.array([len(x) for x in data])
+                begin = np.cumsum(sizes) - sizes
+                h = _gram_hashes(np.frombuffer(b"".join(data), np.uint8))
+                p = _least(h & ~np.uint64(_LOW), length - GRAM + 1)[begin] - begin
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int32()) for x in (p, 0 * p, 0 * p + length - GRAM))],
+                                                 [*b.schema.names, "p", "lo", "hi"])
+    return cut.select("doc", "tag", "start", "bytes").mapInArrow(run, f"{_PLACE}, start int, bytes binary, p int, lo int, hi int")
+
+
+def _halved(segs: DataFrame, length: int) -> DataFrame:
+    """Each segment in two: windows that start far before the minimizer and the others.
+
+    Equal windows start equally far before it. Those of one half share the
+    bytes that all of its windows cover, by which they are dealt out (``m``);
+    each halving lets these bytes grow, up to the whole window. ``part`` is
+    the content.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, tag, start, data, p, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                n, mid = len(data) - length + 1, (lo + hi + 1) // 2
+                border = min(n, max(0, p - mid + 1))
+                for k, end, low, high in ((0, border, mid, hi), (border, n, lo, mid - 1)):
+                    if k < end:
+                        piece, q = data[k:end + length - 1], p - k
+                        shared = b"%d,%d," % (low, high) + piece[q - low:q + length - high]
+                        out.append((doc, tag, start + k, piece, q, low, high, hashlib.md5(shared).digest(), hashlib.md5(piece).digest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc", "tag", "start", "bytes", "p", "lo", "hi", "m", "part"])
+    return (segs.select("doc", "tag", "start", "bytes", "p", "lo", "hi")
+            .mapInArrow(run, f"{_PLACE}, start int, bytes binary, p int, lo int, hi int, m binary, part binary"))
+
+
+def _dealt(cut: DataFrame, length: int, task_segments: int) -> list[DataFrame]:
+    """The same for minimizers too frequent for one task: their segments are halved until a task's share is small.
+
+    After each halving equal halves are one, and what meets no other is
+    done, so only halves that many texts continue differently go on. In the
+    end a half is one window and all that meet are equal.
+    """
+    out, segs = [], cut.where("hot")
+    if segs.isEmpty():
+        return out
+    segs, here = _anchored(segs, length), F.struct("doc", "tag", "start")
+    while True:
+        halves = stored(_halved(segs, length), "repeat-halves")
+        classes = stored(halves.groupBy("m", "part").agg(F.min(here).alias("first"), F.count("*").alias("c")), "repeat-classes")
+        out.append(halves.join(classes.where("c > 1"), ["m", "part"]).where(here > F.col("first"))
+                   .select("doc", "tag", F.col("start").cast("long").alias("s"), (F.col("start") + F.length("bytes")).cast("long").alias("e")))
+        several = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m", (F.col("k") > task_segments).alias("hot"))
+        met = stored(halves.join(classes.join(several, "m"), ["m", "part"]).where(here == F.col("first")).drop("first", "c", "part"), "repeat-met")
+        few = met.where(~F.col("hot")).count()
+        if few:
+            out.append(_expanded(met.select("doc", "tag", "m", "start", "hot", "bytes"), length, max(1, few // task_segments)))
+        segs = met.where("hot")
+        if segs.isEmpty():
+            return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, task_segments: int = 1000) -> DataFrame:
@@ -301,7 +356,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, task_segments: int = 1000
 
     Segments are dealt out once, by minimizer; those of minimizers met once
     stop there. A minimizer with over ``task_segments`` different segments is
-    not expanded in one task, its windows are grouped by their own content.
+    not expanded in one task: its segments are dealt out again, by more of
+    what their windows share.
     """
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("doc"),
@@ -321,7 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, task_segments: int = 1000
     wanted = stored(classes.join(several, "m"), "repeat-wanted")
     buckets = max(1, wanted.where(~F.col("hot")).count() // task_segments)
     cut = stored(_cut(keyed, wanted, length), "repeat-bytes")
-    ranges = again.unionByName(_expanded(cut, length, buckets)).unionByName(_dealt(cut, length))
+    ranges = again.unionByName(_expanded(cut, length, buckets))
+    for more in _dealt(cut, length, task_segments):
+        ranges = ranges.unionByName(more)
     spans = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("s", "e")).alias("r"))
 
     def run(batches):
