@@ -154,12 +154,11 @@ def _repeats(texts: list[bytes], length: int):
     # The place of the suffix one letter longer, for each suffix: letters in order, each keeping its own.
     longer = np.empty(total, np.int64)
     narrow = bwt.astype(np.uint16) if k <= 65_000 else bwt  # two bytes are sorted by counting
-    longer[np.argsort(narrow, kind="stable")] = np.arange(total)
-    letters = np.unique(s[body])
-    first = np.searchsorted(np.sort(s), letters)
-    seen = np.zeros((len(letters), total + 1), np.int32)
-    for i, c in enumerate(letters):
-        np.cumsum(narrow == c, out=seen[i, 1:])
+    order = np.argsort(narrow, kind="stable")
+    longer[order] = np.arange(total)
+    # Where a letter's suffixes up to a place end among the longer ones: one search in (letter, place).
+    ordered = bwt[order] * (total + 1) + order
+    letters = np.unique(s[body])[:, None] * (total + 1)
     boundary = np.zeros(total + 1, bool)
     boundary[0] = boundary[total] = True
     lo, hi = np.array([0]), np.array([total])
@@ -169,10 +168,24 @@ def _repeats(texts: list[bytes], length: int):
         a, b = [longer[p]], [longer[p] + 1]
         lo, hi = lo[~one], hi[~one]
         if len(lo):
-            x, y = first[:, None] + seen[:, lo], first[:, None] + seen[:, hi]
-            some = y > x
-            a.append(x[some])
-            b.append(y[some])
+            size = hi - lo
+            if size.sum() < len(lo) * len(letters):
+                # Small intervals: their suffixes are fewer than the letters to try. Of one letter they stay side by side.
+                begin = np.cumsum(size) - size
+                p = np.arange(size.sum()) + np.repeat(lo - begin, size)
+                of = np.repeat(np.arange(len(lo)), size)[bwt[p] >= k]
+                p = p[bwt[p] >= k]
+                key = np.sort(of * (total + 1) + longer[p])
+                of, place = key // (total + 1), key % (total + 1)
+                letter = s[sa[place]]
+                starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (letter[1:] != letter[:-1])][:len(key)])
+                a.append(place[starts])
+                b.append(place[np.r_[starts[1:], len(key)][:len(starts)] - 1] + 1)
+            else:
+                x, y = np.searchsorted(ordered, letters + lo), np.searchsorted(ordered, letters + hi)
+                some = y > x
+                a.append(x[some])
+                b.append(y[some])
         if not level:
             # Every mark is an interval of one, met once.
             marks = longer[bwt < k]

@@ -60,3 +60,24 @@ def test_halves_hold_each_window_once(spark):
         assert len(place) == 20 * 301 and all(len(m) == 1 for m in shares.values())
     # In the end a half is one window.
     assert all(len(r.bytes) == 100 for r in segs.collect())
+
+
+def test_search_needs_no_table_of_letters():
+    import tracemalloc
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(range(256), k=rng.randint(0, 300))) for _ in range(60)] + [b"", b"ab" * 90, b"q" * 200, *_texts(20)]
+    texts += [texts[k][3:] for k in range(0, 60, 4)]
+    seen = {}
+    for t, x in enumerate(texts):
+        for k in range(len(x) - 99):
+            seen.setdefault(x[k:k + 100], set()).add((t, k))
+    tracemalloc.start()
+    group, text, offset = R._repeats(texts, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for g, t, k in zip(group.tolist(), text.tolist(), offset.tolist()):
+        got.setdefault(g, set()).add((t, k))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in seen.values() if len(x) > 1)
+    # Fewer bytes than a four-byte count of each letter at each place.
+    assert peak < 256 * 4 * sum(map(len, texts))
