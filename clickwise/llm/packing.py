@@ -21,6 +21,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +30,15 @@ from clickwise.llm.common import bounded_batches, stored
 TOKENIZER = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
 _SLICE = 200_000  # ids handed back at once
-# Pieces of a text that get their ids on their own: a word before white space or a stop, the stops after it, else all up to white space.
+# Pieces of a text that get their ids on their own: letters before an ASCII character or the end, else all up to white space.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_WORD = re.compile(rf"[{_LETTERS}]++(?![^\t-\r .,;:!?])|[.,;:!?]++(?![^\t-\r ])|[^\t-\r ]+")
-_PLAIN = re.compile(f"[{_LETTERS}]+")
+_WORD = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[^\t-\r ]+")
+_TEXT_BYTES = 1 << 20  # bytes of texts cut into pieces at once
+_TOGETHER = 5_000  # new words encoded at once
 _WORDS = 300_000  # words a task remembers from each of two rounds
 _WORDS_BESIDE_IDS = 50_000  # the same where it hands the ids back too
 _WORD_CHARS = 40  # longer ones are not remembered
-# Steps known to see no further than such a piece: nothing composes with a space, a stop or a letter before one.
+# Steps known to see no further than such a piece: nothing composes with an ASCII character after it, and letters end there.
 _NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
@@ -45,6 +47,7 @@ _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
 # The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest in order from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BETWEEN = _BYTE | {32: 32}  # the same for words with a space between them
 
 
 class _Words(dict):
@@ -55,7 +58,9 @@ class _Words(dict):
         self.encode, self.older, self.most = encode, {}, most or _WORDS
 
     def __missing__(self, word):
-        found = self.older.pop(word, None) or self.encode(word)
+        return self.keep(word, self.older.pop(word, None) or self.encode(word))
+
+    def keep(self, word, found):
         if len(word) <= _WORD_CHARS:
             if len(self) >= self.most:
                 # Words used since the last time stay for another round.
@@ -74,34 +79,133 @@ def by_words(config: dict) -> bool:
                     for t in config.get("added_tokens", [])))
 
 
+def _from(text: np.ndarray, first: int, n: int) -> np.ndarray:
+    """Which bytes are among the ``n`` from ``first`` on."""
+    return text - np.uint8(first) < n
+
+
+def _cut(text: np.ndarray):
+    """Where the ``_WORD`` pieces of UTF-8 bytes that end in a space begin, those as Arrow bytes, and which are letters alone (then in small letters)."""
+    space, letter = _from(text, 9, 5) | (text == 32), _from(text | 32, 97, 26)
+    # The other letters are two bytes, 0xC3 and one from 0x80 on, but for the signs of times and division.
+    two = np.flatnonzero(text == 0xC3)
+    two = two[_from(text[two + 1], 0x80, 64) & (text[two + 1] | 32 != 0xB7)]
+    letter[two] = letter[two + 1] = True
+    # Runs of both kinds end before the last byte; what lies before the first byte counts as a space.
+    runs = np.flatnonzero(np.diff(space, prepend=True))
+    begin, end = runs[::2], runs[1::2]
+    runs = np.flatnonzero(np.diff(letter, prepend=False))
+    letters = letter[begin]
+    stop = begin.copy()
+    stop[letters] = runs[1::2][space[runs[::2] - 1]]
+    plain = letters & (text[stop] < 0x80)
+    cut = np.flatnonzero(plain & (stop < end))
+    begin, end, plain = np.insert(begin, cut + 1, stop[cut]), np.insert(end, cut, stop[cut]), np.insert(plain, cut + 1, False)
+    shown, sizes = text[~space], end - begin
+    # Capitals are 32 below their small letters, in the second byte where there are two.
+    shown += ((_from(shown, 65, 26) | _from(shown, 0x80, 31)) & np.repeat(plain, sizes)).view(np.uint8) << 5
+    places = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return begin, pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(shown)]), plain
+
+
+def _split(data: bytes, ends: list) -> list:
+    return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+
+class _Tokenizer:
+    """Ids of texts for one task; the words it remembers go with it."""
+
+    def __init__(self, encode, together=None, most=None):
+        self.encode, self.together = encode, together
+        self.words = together and _Words(lambda word: encode(word.decode()), most)
+
+    def __call__(self, text):
+        return next(self.column(pa.array([text]))).tobytes()
+
+    def column(self, texts):
+        """Yields the ids of each text of an Arrow column; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.words is None:
+            for text in texts:
+                yield np.frombuffer(self.encode(text.as_py()), "<u4")
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TEXT_BYTES, "right")) - at)
+            yield from self.several(texts.slice(at, n))
+            at += n
+
+    def several(self, texts):
+        """Ids of texts that are cut at once: each different piece is looked up once."""
+        texts = pc.binary_join_element_wise(texts, "", " ")
+        _, places, shown = texts.buffers()
+        places = np.frombuffer(places, np.int32)[:len(texts) + 1]
+        begin, pieces, plain = _cut(np.frombuffer(shown, np.uint8)[:places[-1]])
+        pieces = pieces.dictionary_encode()
+        which = pieces.indices.to_numpy()
+        letters = np.zeros(len(pieces.dictionary), bool)
+        letters[which] = plain
+        _, ends, names = pieces.dictionary.buffers()
+        names = _split(names.to_pybytes(), np.frombuffer(ends, np.int32)[1:len(letters) + 1].tolist()) if len(letters) else []
+        found = self.look_up(names, letters.tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, sizes = np.cumsum(size) - size, size[which]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[which] - upto[:-1], sizes) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(begin, places)].tolist()
+        return (ids[i:j] for i, j in zip(bounds, bounds[1:]))
+
+    def look_up(self, names, letters):
+        """Ids of different pieces, new ones of letters encoded together."""
+        found = list(map(self.words.get, names))
+        lost = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in lost:
+            found[k] = self.words.older.pop(names[k], None)
+            if found[k] is None and letters[k]:
+                new.append(k)
+            elif found[k] is None:
+                found[k] = self.words.encode(names[k])
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at:at + _TOGETHER]
+            for k, ids in zip(some, self.together([names[k] for k in some])):
+                found[k] = ids
+        for k in lost:
+            self.words.keep(names[k], found[k])
+        return found
+
+
 def _tokenizer(path, most=None):
-    """A function from a text to its ids as little-endian bytes; it remembers up to ``most`` words a round and goes with its task."""
+    """A ``_Tokenizer`` that remembers up to ``most`` words a round."""
     if path not in _TOKENIZERS:
         # One text at a time: a pool of threads would only hold memory.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         tok = Tokenizer.from_file(path)
 
         def encode(text):
             return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         with open(path, encoding="utf-8") as f:
-            local = by_words(json.load(f))
-        if local:
-            model = tok.model
-
-            def piece(word):
-                if not _PLAIN.fullmatch(word):
-                    return encode(word)
-                # A word of plain letters is one token of the splitter, and only its case changes.
-                return np.array([t.id for t in model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE))], "<u4").tobytes()
-            _TOKENIZERS[path] = piece, True
+            config = json.load(f)
+        if by_words(config):
+            # A word of plain letters is one token of the splitter, and only its case changes.
+            bare = Tokenizer(tok.model)
+            bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            suffix, vocab = config["model"].get("end_of_word_suffix"), config["model"]["vocab"]
+            last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+            last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+            def together(words):
+                ids = np.array(bare.encode_batch_fast([b" ".join(words).decode("latin-1").translate(_BETWEEN)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(last[ids]) + 1
+                if len(ends) != len(words):
+                    return [encode(w.decode()) for w in words]
+                return _split(ids.tobytes(), (4 * ends).tolist())
+            _TOKENIZERS[path] = encode, together
         else:
-            _TOKENIZERS[path] = encode, False
-    found, local = _TOKENIZERS[path]
-    if not local:
-        return found
-    words = _Words(found, most)
-    return lambda text: b"".join([words[w] for w in _WORD.findall(text)])
+            _TOKENIZERS[path] = (encode,)
+    return _Tokenizer(*_TOKENIZERS[path], most)
 
 
 def default_tokenizer() -> str:
@@ -127,13 +231,13 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
 
     def run(batches):
         tok = _tokenizer(tokenizer or default_tokenizer(), _WORDS_BESIDE_IDS if with_ids else None)
-        end = np.array([eos], "<u4").tobytes()
+        end = np.array([eos], "<u4")
         rows: list = []
         parts: list = []
         held = 0
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.frombuffer(tok(text.as_py() or "") + end, "<u4")
+            for doc, ids in zip(b["doc_id"], tok.column(b["text"])):
+                ids = np.concatenate((ids, end))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     rows.append((doc.as_py(), k, at, len(part), zlib.crc32(part.tobytes())))
