@@ -34,6 +34,7 @@ _SLICE = 200_000  # ids handed back at once
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[^\t-\r ]+")
 _TEXT_BYTES = 1 << 20  # bytes of texts cut into pieces at once
+_TEXT_BYTES_BESIDE_IDS = 1 << 18  # the same where a task hands the ids back too
 _TOGETHER = 5_000  # new words encoded at once
 _WORDS = 300_000  # words a task remembers from each of two rounds
 _WORDS_BESIDE_IDS = 50_000  # the same where it hands the ids back too
@@ -122,8 +123,8 @@ class _Tokenizer:
     def __call__(self, text):
         return next(self.column(pa.array([text]))).tobytes()
 
-    def column(self, texts):
-        """Yields the ids of each text of an Arrow column; null counts as empty."""
+    def column(self, texts, at_once=None):
+        """Yields the ids of each text of an Arrow column, ``at_once`` bytes of them cut at once; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if self.words is None:
             for text in texts:
@@ -132,7 +133,7 @@ class _Tokenizer:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
-            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TEXT_BYTES, "right")) - at)
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (at_once or _TEXT_BYTES), "right")) - at)
             yield from self.several(texts.slice(at, n))
             at += n
 
@@ -236,7 +237,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         parts: list = []
         held = 0
         for b in batches:
-            for doc, ids in zip(b["doc_id"], tok.column(b["text"])):
+            for doc, ids in zip(b["doc_id"], tok.column(b["text"], _TEXT_BYTES_BESIDE_IDS if with_ids else None)):
                 ids = np.concatenate((ids, end))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]

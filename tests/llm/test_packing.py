@@ -114,6 +114,7 @@ def test_new_words_are_encoded_together_and_once():
     letters = "abcdefghij"
     texts = [f"{a}{b}x. {a.upper()}{b}X, {a}{b}x" for a in letters for b in letters] * 2
     want = [tokenizers.Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in P._tokenizer(path).column(pa.array(texts), 30)] == want
     # Not a call a word: one for all words of letters, whatever their case, one for each stop; none when they come again.
     for _ in range(2):
         assert [ids.tolist() for ids in tok.column(pa.array(texts))] == want
